@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a worker turns into one batch of output.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +73,38 @@ def unsigned_crc32(data: Column) -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch with about BATCH_BYTES in ``column``, and a row at least."""
+    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64)
+    start = 0
+    while start < batch.num_rows:
+        upto = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), BATCH_BYTES)) + start)
+        yield batch.slice(start, upto - start)
+        start = upto
+
+
+def _replaced(df: DataFrame, **new: str) -> tuple[DataFrame, str]:
+    """``df`` without the columns named, and the schema of it with them at the end."""
+    df = df.drop(*new)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{k}` {v}" for k, v in new.items())])
+    return df, schema
+
+
+def map_column(df: DataFrame, column: str, new: dict[str, str], function: Callable[[list], list[pa.Array]], keep: bool = False) -> DataFrame:
+    """``df`` with ``column`` given up (unless ``keep``) for the columns of ``new`` that ``function`` makes of its values."""
+    base = df if keep else df.withColumnRenamed(column, "_given")
+    given = column if keep else "_given"
+    base, schema = _replaced(base, **new)
+    if not keep:
+        _, schema = _replaced(base.drop("_given"), **new)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for part in batches(whole, given):
+                made = function(part.column(given).to_pylist())
+                kept = [(f.name, part.column(f.name)) for f in part.schema if keep or f.name != given]
+                yield pa.RecordBatch.from_arrays([x for _, x in kept] + made, [n for n, _ in kept] + list(new))
+
+    return base.mapInArrow(run, schema)
