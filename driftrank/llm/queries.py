@@ -12,6 +12,7 @@ MODULES = {
     "op2_transport_stream": "transport_stream",
     "op4_prefix_bpe": "prefix_bpe",
     "op8_quality_ledger": "quality_rules",
+    "op10_url_cascade": "url_cascade",
 }
 
 
