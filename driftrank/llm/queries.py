@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query -> the module whose ``query`` it is; ``ORACLE_SQL`` there is its SQL, if it has one.
 MODULES = {
+    "op1_kd_shards": "kd_shards",
     "op2_transport_stream": "transport_stream",
     "op4_prefix_bpe": "prefix_bpe",
     "op8_quality_ledger": "quality_rules",
