@@ -20,27 +20,49 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from driftrank.llm.common import map_column, table
 
 #: Pieces remembered by a worker, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NEVER = 1 << 60
 
 
+def read_ranks(rank_file: bytes) -> dict[bytes, int]:
+    pairs = (line.split() for line in rank_file.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+class Decoder:
+    """Ids back to bytes; needs no more than the list of tokens."""
+
+    def __init__(self, rank_file: bytes):
+        ranks = read_ranks(rank_file)
+        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.names = [str(i) for i in range(len(self.tokens))]
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def listed(self, ids) -> bytes:
+        """The ids in decimal, one space between."""
+        return " ".join(map(self.names.__getitem__, ids)).encode()
+
+
 class Vocabulary:
     """The ranks of a byte-level BPE, where a token's id is its rank."""
 
     def __init__(self, rank_file: bytes):
-        pairs = (line.split() for line in rank_file.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        self.ranks = read_ranks(rank_file)
         self.tokens: list[bytes] = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -90,7 +112,11 @@ class Vocabulary:
         known = self._pairs.get(key)
         if known is not None:
             return known
-        xs, ys = self._spine(left)[1], self._spine(right)[0]
+        ends = self._spine(right)
+        if ends is None:  # merging never makes this token
+            self._pairs[key] = False
+            return False
+        xs, ys = self._spine(left)[1], ends[0]
         i = j = 0
         valid = True
         while True:
@@ -106,33 +132,51 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > 4 * REMEMBERED:
+        if len(self._pairs) > 2 * REMEMBERED:
             self._pairs.clear()
         self._pairs[key] = valid
         return valid
 
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``data[:end]``, given that of every shorter prefix (``last[0]`` is -1)."""
-        back, ends, fits = self._back, self._ends, self.fits
-        node, at = 0, end
-        while at:
-            node = back.get(node << 8 | data[at - 1], 0)
-            if not node:
-                break
-            at -= 1
-            token = ends[node]
-            if token >= 0 and (fits(last[at], token) if at else True) and self._spine(token) is not None:
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    def extend(self, data: bytes, last: list[int], upto: int) -> None:
+        """Add the last tokens of the prefixes of ``data`` up to the length ``upto`` (``last[0]`` is -1)."""
+        back, ends, pairs = self._back.get, self._ends, self._pairs.get
+        for end in range(len(last), upto + 1):
+            node, at, token = 0, end, -1
+            while at:
+                at -= 1
+                node = back(node << 8 | data[at], 0)
+                if not node:
+                    break
+                found = ends[node]
+                if found >= 0:
+                    if at:
+                        left = last[at]
+                        known = pairs(left << 20 | found)
+                        if known or known is None and self.fits(left, found):
+                            token = found
+                            break
+                    elif self._spine(found) is not None:
+                        token = found
+            if token < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        return PrefixTable(self, data).ids()
+        last = [-1]
+        self.extend(data, last, len(data))
+        return self.read_back(last, len(data))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def read_back(self, last: list[int], at: int) -> list[int]:
+        """The ids of the prefix of length ``at``."""
+        found = []
+        while at:
+            token = last[at]
+            found.append(token)
+            at -= len(self.tokens[token])
+        return found[::-1]
 
 
 class PrefixTable:
@@ -144,9 +188,8 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         """Exact: no stored entry changes."""
-        start, self.data = len(self.data), self.data + more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self.vocabulary.last_token(self.data, end, self.last))
+        self.data += more
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in the place of ``data[start:stop]``; returns how many entries were computed."""
@@ -155,10 +198,9 @@ class PrefixTable:
         self.last = old[: start + 1]
         agree = done = 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self.vocabulary.last_token(self.data, end, self.last)
-            self.last.append(token)
+            self.vocabulary.extend(self.data, self.last, end)
             done += 1
-            agree = agree + 1 if end > start + len(new) and old[end - shift] == token else 0
+            agree = agree + 1 if end > start + len(new) and old[end - shift] == self.last[end] else 0
             if agree == self.vocabulary.longest:
                 self.last += old[end - shift + 1 :]
                 break
@@ -166,12 +208,7 @@ class PrefixTable:
 
     def ids(self, length: int | None = None) -> list[int]:
         """The ids of the prefix of that length, by default of all bytes."""
-        at, found = len(self.data) if length is None else length, []
-        while at:
-            token = self.last[at]
-            found.append(token)
-            at -= len(self.vocabulary.tokens[token])
-        return found[::-1]
+        return self.vocabulary.read_back(self.last, len(self.data) if length is None else length)
 
 
 class _Pieces(dict):
@@ -181,10 +218,13 @@ class _Pieces(dict):
         super().__init__()
         self.vocabulary, self.older = vocabulary, {}
 
+    def compute(self, piece: str) -> bytes:
+        return array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         packed = self.older.get(piece)
         if packed is None:
-            packed = np.array(self.vocabulary.encode_piece(piece.encode()), "<i4").tobytes()
+            packed = self.compute(piece)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -203,9 +243,6 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._pieces.__getitem__, self.pattern.findall(text))), "<i4")
 
-    def decode(self, ids) -> bytes:
-        return self.vocabulary.decode(ids)
-
 
 class EditableText:
     """A text with its encoding; an edit re-encodes from a piece before it until the old pieces stand again.
@@ -245,6 +282,11 @@ def _encoder(rank_file: bytes, pattern: str) -> Encoder:
     return Encoder(rank_file, pattern)
 
 
+@lru_cache(2)
+def _decoder(rank_file: bytes) -> Decoder:
+    return Decoder(rank_file)
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with the text replaced by ``ids``: a packed little-endian ``binary`` of 32-bit ids."""
     held = docs.sparkSession.sparkContext.broadcast(rank_file)
@@ -261,22 +303,24 @@ def decode(encoded: DataFrame, rank_file: bytes, ids: str = "ids") -> DataFrame:
     held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(packed: list) -> list[pa.Array]:
-        decoder = _encoder(held.value, "").decode
-        return [pa.array([decoder(np.frombuffer(x, "<i4").tolist()) for x in packed], pa.binary())]
+        decoder = _decoder(held.value)
+        return [pa.array([decoder.decode(np.frombuffer(x, "<i4").tolist()) for x in packed], pa.binary())]
 
     return map_column(encoded, ids, {"data": "binary"}, run, keep=True)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``ids`` and ``data`` given up for the count of ids and the SHA-256 of either."""
-    base = encoded.select(*[c for c in encoded.columns if c not in ("ids", "data", "n_tokens", "ids_sha256")], "ids", F.sha2("data", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, rank_file: bytes) -> DataFrame:
+    """``ids`` given up for their count and SHA-256, and for the SHA-256 of the bytes they decode to."""
+    held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(packed: list) -> list[pa.Array]:
-        ids = [np.frombuffer(x, "<i4").tolist() for x in packed]
-        shas = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(shas)]
+        decoder, rows = _decoder(held.value), []
+        for x in packed:
+            ids = np.frombuffer(x, "<i4").tolist()
+            rows.append((len(ids), hashlib.sha256(decoder.listed(ids)).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()))
+        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
-    return map_column(base, "ids", {"n_tokens": "bigint", "ids_sha256": "string"}, run)
+    return map_column(encoded, "ids", {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, run)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
@@ -289,10 +333,10 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_vocabulary()
     encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    return digests(decode(encoded, ranks)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: every document's ids, count and digests."""
     ranks, pattern = public_vocabulary()
-    return digests(decode(encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern), ranks))
+    return digests(encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern), ranks)
