@@ -12,6 +12,7 @@ MODULES = {
     "op1_kd_shards": "kd_shards",
     "op2_transport_stream": "transport_stream",
     "op4_prefix_bpe": "prefix_bpe",
+    "op5_near_dedup": "near_dedup",
     "op7_suffix_family": "suffix_family",
     "op8_quality_ledger": "quality_rules",
     "op10_url_cascade": "url_cascade",
