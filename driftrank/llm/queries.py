@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_kd_shards": "kd_shards",
     "op2_transport_stream": "transport_stream",
+    "op3_source_mix": "source_mix",
     "op4_prefix_bpe": "prefix_bpe",
     "op5_near_dedup": "near_dedup",
     "op7_suffix_family": "suffix_family",
