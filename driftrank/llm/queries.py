@@ -14,6 +14,7 @@ MODULES = {
     "op3_source_mix": "source_mix",
     "op4_prefix_bpe": "prefix_bpe",
     "op5_near_dedup": "near_dedup",
+    "op6_context_mixing": "context_mixing",
     "op7_suffix_family": "suffix_family",
     "op8_quality_ledger": "quality_rules",
     "op10_url_cascade": "url_cascade",
