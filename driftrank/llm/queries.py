@@ -17,6 +17,7 @@ MODULES = {
     "op6_context_mixing": "context_mixing",
     "op7_suffix_family": "suffix_family",
     "op8_quality_ledger": "quality_rules",
+    "op9_chat_snapshots": "chat_snapshots",
     "op10_url_cascade": "url_cascade",
 }
 
