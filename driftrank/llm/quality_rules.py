@@ -91,7 +91,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return df.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines")
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines")
+    # Generated columns: no filter on a measurement is pushed below them, where it would work out the arrays anew for each use.
+    return df.select(*own, F.inline(F.array(found)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
