@@ -47,10 +47,10 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key), F.xxhash64(F.lit("second"), key)]
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES bit positions of each key, by rows."""
-    step = h2.view(np.uint64) | np.uint64(1)
-    at = h1.view(np.uint64)[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)
+def _positions(h1: np.ndarray, h2: np.ndarray, bits: int, level: int) -> np.ndarray:
+    """HASHES bit positions of each key, by rows; every level has its own, or one that lets a key through would again."""
+    step = (h2.view(np.uint64) ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+    at = (h1.view(np.uint64) ^ step >> np.uint64(20))[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)
     return ((at >> np.uint64(17)) ^ at) % np.uint64(bits)
 
 
@@ -64,7 +64,7 @@ class Cascade:
         verdict = np.zeros(len(h1), bool)
         open_ = np.arange(len(h1))
         for n, words in enumerate(self.levels):
-            passed = passes(words, h1[open_], h2[open_])
+            passed = passes(words, h1[open_], h2[open_], n)
             verdict[open_[~passed]] = n % 2 == 1
             open_ = open_[passed]
         verdict[open_] = len(self.levels) % 2 == 1
@@ -75,18 +75,18 @@ class Cascade:
         return sum(x.nbytes for x in self.levels)
 
 
-def passes(words: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    at = _positions(h1, h2, len(words) * 64)
+def passes(words: np.ndarray, h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
+    at = _positions(h1, h2, len(words) * 64, level)
     return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
-def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+def _bitmap(keys: DataFrame, n: int, level: int) -> np.ndarray:
     """The filter over ``keys(h1, h2)``, of which there are ``n``."""
     n_words = max(1, -(-n * BITS_PER_KEY // 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _positions(batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), n_words * 64).ravel()
+            at = _positions(batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), n_words * 64, level).ravel()
             words, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(words), np.uint64)
             np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
@@ -98,13 +98,13 @@ def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
     return found
 
 
-def _through(keys: DataFrame, words: np.ndarray) -> DataFrame:
+def _through(keys: DataFrame, words: np.ndarray, level: int) -> DataFrame:
     """The ``keys(h1, h2)`` that a filter lets through."""
     held = keys.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(held.value, batch.column("h1").to_numpy(), batch.column("h2").to_numpy())))
+            yield batch.filter(pa.array(passes(held.value, batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), level)))
 
     return keys.select("h1", "h2").mapInArrow(run, "h1 bigint, h2 bigint")
 
@@ -120,8 +120,8 @@ def build(listed: DataFrame, unlisted: DataFrame, scratch: Scratch, name: str =
         levels: list[np.ndarray] = []
         size = n if parts == 1 else inside.count()
         for level in range(MAX_LEVELS):
-            levels.append(_bitmap(inside, size))
-            wrong = scratch.keep(_through(outside, levels[-1]), f"{name}-{part}-{level}")
+            levels.append(_bitmap(inside, size, level))
+            wrong = scratch.keep(_through(outside, levels[-1], level), f"{name}-{part}-{level}")
             size = wrong.count()
             if not size:
                 break
