@@ -1,9 +1,8 @@
-"""The folder that driver and executors share, and tables kept in it."""
+"""The folder that driver and executors share, and frames kept in it."""
 
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,25 +20,3 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that a lost executor costs a reread, not a rerun."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
-
-
-class Scratch:
-    """Parquet tables in the shared folder: written by ``keep``, reread, deleted by ``drop``."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/driftrank-{label}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
