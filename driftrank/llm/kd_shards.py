@@ -81,7 +81,10 @@ def _place(n: int, dimension: Column) -> Column:
 
 def _with_table(rows: DataFrame, listed: list[tuple], schema: str, how: str = "inner") -> DataFrame:
     """``rows`` joined by node with a list of nodes, broadcast up to BROADCAST_NODES."""
-    small = rows.sparkSession.createDataFrame(listed, schema)
+    names = ", ".join(x.split()[0] for x in schema.split(", "))
+    casts = ", ".join("cast({} as {}) as {}".format(*x.split(), x.split()[0]) for x in schema.split(", "))
+    values = ", ".join("(" + ", ".join(f"{x!r}D" if isinstance(x, float) else f"{x}L" for x in row) + ")" for row in listed)
+    small = rows.sparkSession.sql(f"SELECT {casts} FROM VALUES {values} AS t({names})")
     return rows.join(F.broadcast(small) if len(listed) <= BROADCAST_NODES else small, "node", how)
 
 
