@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,6 +57,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def free(self) -> None:
+        """Let go of the shuffle files of frames that nothing refers to any more; Spark frees them when its driver collects garbage."""
+        for _ in range(2):  # the first collection finds the frames, the second what they held
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.7)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -270,9 +270,11 @@ def _resolved(entries: DataFrame) -> DataFrame:
 def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(doc, spot)``: windows of ``docs(doc, data)`` that also start earlier; ``doc`` is unique and gives the order."""
     first = scratch.keep(_resolved(docs.mapInArrow(_index, ENTRY)), "suffixes")
+    scratch.free()
     undecided = _spots(first.where("not done"))
     asked = docs.join(undecided, "doc").select("doc", "data", "spots")
     second = scratch.keep(_resolved(asked.mapInArrow(_windows, ENTRY)).where("done"), "windows")
+    scratch.free()
     return first.where("done").select("doc", "spot").unionByName(second.select("doc", "spot"))
 
 
