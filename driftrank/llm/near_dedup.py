@@ -281,15 +281,22 @@ def _rest(shared: DataFrame, comps: DataFrame, sketch: DataFrame, sets: DataFram
     """Links that pivots did not show: buckets of three or more with members in different components."""
     labelled = scratch.keep(shared.where("n > 2").join(comps.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")), "labelled")
     h = F.xxhash64("c")
-    buckets = labelled.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("m"), (F.min("root") != F.max("root")).alias("apart"),
-        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"),
-    ).where("apart")
-    # buckets with the same members are one, that of the first band
-    kept = buckets.groupBy("m", "low", "high").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    mine = labelled.join(kept, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "c"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = mine.select("band", "key", "c", "root", "block", F.explode(every).alias("other")).select(
+    by_root = labelled.groupBy("band", "key", "root").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high")
+    )
+    buckets = by_root.groupBy("band", "key").agg(
+        F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("low").alias("low"), F.sum("high").alias("high")
+    ).where("most < m")
+    # Buckets with the same members are one, that of the first band. The members of a bucket's largest component need no
+    # comparison among themselves: they are placed once for each block of the others.
+    kept = buckets.groupBy("m", "low", "high").agg(F.min(F.struct("band", "key", "main", "most")).alias("b")).select(
+        "b.band", "b.key", "b.main", F.ceil((F.col("m") - F.col("b.most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("b.most") / BLOCK).cast("int").alias("many")
+    )
+    h = F.xxhash64(F.lit("block"), "c")
+    is_main = F.col("root") == F.col("main")
+    mine = labelled.join(kept, ["band", "key"]).withColumn("block", F.when(is_main, F.col("few") + F.pmod(h, F.col("many"))).otherwise(F.pmod(h, F.col("few"))).cast("int"))
+    others = F.sequence(F.lit(0), F.when(is_main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    placed = mine.select("band", "key", "c", "root", "block", F.explode(others).alias("other")).select(
         "band", "key", "c", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     full = placed.join(sketch.select("c", "signs", "keys"), "c").join(sets, "c")
