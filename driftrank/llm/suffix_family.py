@@ -185,7 +185,10 @@ def _settled(columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (doc, offset, bytes) of about BUFFER bytes; long texts come in pieces that share LENGTH - 1 bytes."""
+    """Lists of (doc, offset, bytes) of about BUFFER bytes; long texts come in pieces that share LENGTH - 1 bytes.
+
+    A list stays below twice BUFFER and LENGTH, so that ``suffixes`` can hold a place in it in 24 bits.
+    """
     held, size = [], 0
     for batch in batches:
         for doc, data in zip(batch.column("doc").to_pylist(), batch.column("data"), strict=True):
@@ -195,9 +198,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
                 if len(piece) >= LENGTH:
                     held.append((doc, start, piece))
                     size += len(piece)
-            if size >= BUFFER:
-                yield held
-                held, size = [], 0
+                if size >= BUFFER:
+                    yield held
+                    held, size = [], 0
     if held:
         yield held
 

@@ -180,6 +180,15 @@ def test_repeats_in_pieces_and_levels(monkeypatch):
     assert found == 8 * 40
 
 
+def test_repeats_far_into_a_text():
+    """A passage beyond byte 2^24 of a text comes again in another one."""
+    text = np.random.default_rng(4).integers(97, 123, 17 << 20, dtype=np.uint8).tobytes()
+    passage = text[(1 << 24) + 1000 :][:5000]
+    batches = [__import__("pyarrow").RecordBatch.from_pydict({"doc": [d], "data": [x]}) for d, x in ((1, text), (2, passage))]
+    found = [(spot >> 8, spot & 255) for b in suffix_family._resolve(suffix_family._index(iter(batches))) for doc, spot in zip(b.column("doc").to_pylist(), b.column("spot").to_pylist()) if doc == 2]
+    assert sorted(at + k for at, n in found for k in range(n)) == list(range(5000 - 99))
+
+
 def test_repeats_of_odd_rows(spark, odd):
     got = suffix_family.cleaned(odd).collect()
     assert len(got) == len(ODD) and next(r for r in got if r.doc_id == 5).n_removed > 29000
