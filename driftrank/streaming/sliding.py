@@ -85,9 +85,16 @@ class SlidingPPR:
 
 
 def windowed_degrees(edges: DataFrame, slide: Slide) -> DataFrame:
-    """``(batch, id, d)`` of a stream or a table by Spark's own hopping windows over ``pos`` as seconds; full windows only."""
+    """``(batch, id, d)`` by Spark's own hopping windows over ``pos`` as seconds; of a table full windows only.
+
+    The end of a stream is not known: its last windows come out as far as they are filled.
+    """
     at = F.window(F.timestamp_seconds("pos"), f"{slide.window} seconds", f"{slide.size} seconds")
     counted = edges.groupBy(at.alias("w"), F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
     start = F.unix_timestamp("w.start")
+    full = counted.where(start >= 0)
+    if not edges.isStreaming:
+        held = edges.agg((F.max("pos") + 1).alias("held"))
+        full = full.join(F.broadcast(held), start + slide.window <= F.col("held"))
     # Spark aligns windows to multiples of the slide from 0, so start / size is the batch.
-    return counted.where(start >= 0).select((start / slide.size).cast("long").alias("batch"), "id", "d")
+    return full.select((start / slide.size).cast("long").alias("batch"), "id", "d")

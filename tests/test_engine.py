@@ -8,6 +8,7 @@ from driftrank.config import Phases, Slide, Variant
 from driftrank.functions import repaired_residual
 from driftrank.plans import engine, power, push, repair, validate
 from driftrank.plans.stream import EdgeStream
+from driftrank.streaming.sliding import windowed_degrees
 
 A = 0.15
 
@@ -104,6 +105,15 @@ def test_trailing_partial_batch_is_left(spark):
         g.updates(s, 1)
 
 
+@pytest.mark.parametrize("n, last", [(10, 3), (11, 3), (12, 4), (3, None)])
+def test_hopping_windows_are_full(spark, n, last):
+    """Every full window and no other."""
+    g = stream(spark, [(i % 3, 0) for i in range(n)], 3)
+    got = {(r.batch, r.id): r.d for r in windowed_degrees(g.edges, Slide(4, 2, 1)).collect()}
+    want = {} if last is None else {(b, i): sum(p % 3 == i for p in range(2 * b, 2 * b + 4)) for b in range(last + 1) for i in range(3)}
+    assert got == want
+
+
 def test_validation_of_parameters():
     assert Slide.by_ratio(9999, 0.01, 100) == Slide(999, 9, 100)
     assert Slide.by_size(9999, 9, 100).batches == 12
