@@ -147,6 +147,42 @@ def test_model_is_a_distribution():
     assert first.sum() == pytest.approx(1)
 
 
+def test_model_grows_with_its_contexts(spark, monkeypatch):
+    """Beginnings are counted apart, over edges of ranges too, and tables are larger than what is counted."""
+    monkeypatch.setattr(context_mixing, "TABLE_BITS", (4,) * 6)
+    rng = random.Random(6)
+    words = {("".join(rng.choice("abc\x01é") for _ in range(rng.randint(1, 9)))).encode() for _ in range(6000)} | {b"\xff"}
+    rows = [(w, k, rng.choice([0, 1, 2, 100_000])) for w in sorted(words) for k in (0, 3) if k == 0 or rng.random() < 0.4]
+    want, contexts = collections.defaultdict(lambda: [0, 0]), set()
+    for w, k, c in rows:
+        ended = w if w == b"\xff" else w + b" "
+        for p, byte in enumerate(ended):
+            for j in range(8):
+                for kind in (k, None):
+                    want[kind, ended[:p], j, byte >> 8 - j][byte >> 7 - j & 1] += c
+                if c:
+                    contexts.add((k, min(p, 4), ended[max(0, p - 4) : p], j, byte >> 8 - j))
+    scratch = Scratch(spark, "t")
+    ordered, edges = context_mixing.in_ranges(spark.createDataFrame(rows, "word binary, k int, ck bigint"), 5, scratch)
+    assert len(edges) == 5
+    shared, bits, counted = context_mixing.survey(ordered, spark.sparkContext.broadcast(edges), scratch)
+    assert abs(counted[3] - len(contexts)) < 0.4 * len(contexts) and all(1 << b >= 2 * n for b, n in zip(bits, counted))
+    seen = 0
+    for number, ends in edges.items():
+        held = ordered.where(F.col("part") == number).toArrow()
+        part = context_mixing._part(held)
+        by_class, of_all = part.exact(ends, shared)
+        for i, (w, k) in enumerate(zip(part.words, part.classes.tolist())):
+            ended = w if w == b"\xff" else w + b" "
+            for p, byte in enumerate(ended):
+                for j in range(8):
+                    for got, kind in ((by_class, k), (of_all, None)):
+                        n = np.array(want[kind, ended[:p], j, byte >> 8 - j])[:, None]
+                        assert (got[:, part.starts[i] + p, j] == context_mixing.packed_counts(n)[:, 0]).all()
+            seen += 1
+    assert seen == len(rows)
+
+
 def test_repeats(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab cd") for _ in range(400)) for _ in range(4)]
