@@ -2,10 +2,11 @@
 
 Each source's documents, in a seeded order, are one stream of words that is packed into blocks of BLOCK words. Sources
 weigh 1, 2, 3, 1, 2, 3, ... by code point; a source's share stops at LIMIT times its size and the excess goes to the
-others by weight. Every output shard draws how many of its SHARD_SLOTS slots each source gets (the whole part of its
-share for certain, the rest by a multinomial draw), a source's slots count on from shard to shard, and slot number j
-takes the block at place j mod n of a pseudorandom permutation of the source's n blocks, a new one for every n slots.
-So no block is taken LIMIT + 1 times before all are taken LIMIT times, and no slot goes beyond that.
+others by weight. Every output shard draws how many of its SHARD_SLOTS slots each source gets: the whole part of its
+share for certain, the rest without replacement from what the whole parts of all shards leave of the sources' slots, so
+that every source gets its slots over all shards, however few they are. A source's slots count on from shard to shard,
+and slot number j takes the block at place j mod n of a pseudorandom permutation of the source's n blocks, a new one for
+every n slots. A source has no more than LIMIT slots a block, so no block is taken more than LIMIT times.
 
 Positions in a stream are sums over blocks of documents (BUCKET_ROWS rows each), so a source that holds a third of all
 rows is dealt like any other. Draws and permutations depend on the seed, the shard and the source only, so reruns
@@ -73,15 +74,30 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_draw(shard: int, wanted: np.ndarray, slots: int, seed: int = SEED) -> np.ndarray:
-    """How many slots of a shard each source gets; ``wanted`` are the sources' slots in all shards."""
-    share = wanted / wanted.sum() * slots
-    sure = np.floor(share).astype(np.int64)
-    rest = share - sure
-    spare = int(slots - sure.sum())
-    if spare and rest.sum() > 0:
-        sure += np.random.default_rng([seed, shard]).multinomial(spare, rest / rest.sum())
-    return sure
+class Draws:
+    """How many slots of each shard each source gets; over all shards source ``i`` gets ``wanted[i]``.
+
+    The slots that whole parts leave are one row, the sources after each other; the shards take them in a pseudorandom order.
+    """
+
+    def __init__(self, wanted: np.ndarray, seed: int = SEED):
+        self.total = int(wanted.sum())
+        self.shards = -(-self.total // SHARD_SLOTS)
+        self.last = self.total - (self.shards - 1) * SHARD_SLOTS
+        # whole parts of a full shard and of the last one
+        self.sure, self.sure_last = wanted * SHARD_SLOTS // self.total, wanted * self.last // self.total
+        self.spare = SHARD_SLOTS - int(self.sure.sum())
+        self.ends = np.cumsum(wanted - (self.shards - 1) * self.sure - self.sure_last)
+        self.seed = seed
+
+    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sources that get slots of a shard, and how many."""
+        left, first = int(self.ends[-1]), shard * self.spare
+        sure, upto = (self.sure_last, left) if shard == self.shards - 1 else (self.sure, first + self.spare)
+        certain = np.flatnonzero(sure)
+        drawn = np.searchsorted(self.ends, permuted(np.arange(first, upto), left, self.seed), side="right") if upto > first else certain[:0]
+        which, count = np.unique(np.concatenate([np.repeat(certain, sure[certain]), drawn]), return_counts=True)
+        return which, count
 
 
 def sources_of(sized: DataFrame) -> pd.DataFrame:
@@ -115,22 +131,20 @@ def positions(sized: DataFrame) -> DataFrame:
 def slots(spark: SparkSession, sources: pd.DataFrame, scratch: Scratch) -> DataFrame:
     """``(shard, rank, j, block)``: the block that each slot of the mixture takes."""
     used = sources[sources["slots"] > 0]
-    total = int(used["slots"].sum())
     schema = "shard bigint, rank bigint, c bigint"
-    if not total:
+    if used.empty:
         return spark.createDataFrame([], "shard bigint, rank bigint, j bigint, block bigint")
-    shards = -(-total // SHARD_SLOTS)
-    held = spark.sparkContext.broadcast((used["rank"].to_numpy(), used["slots"].to_numpy(), used["n_blocks"].to_numpy()))
+    draws = Draws(used["slots"].to_numpy())
+    held = spark.sparkContext.broadcast((used["rank"].to_numpy(), used["n_blocks"].to_numpy(), draws))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, wanted, _ = held.value
+        ranks, _, draws = held.value
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                count = shard_draw(shard, wanted, min(SHARD_SLOTS, total - shard * SHARD_SLOTS))
-                some = count > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(some.sum(), shard)), pa.array(ranks[some]), pa.array(count[some])], ["shard", "rank", "c"])
+                which, count = draws.of(shard)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(which), shard)), pa.array(ranks[which]), pa.array(count)], ["shard", "rank", "c"])
 
-    drawn = scratch.keep(spark.range(shards).mapInArrow(draw, schema), "draws")
+    drawn = scratch.keep(spark.range(draws.shards).mapInArrow(draw, schema), "draws")
     group = (F.col("shard") / 1024).cast("long")
     within = Window.partitionBy("rank", "_g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("rank").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,13 +153,12 @@ def slots(spark: SparkSession, sources: pd.DataFrame, scratch: Scratch) -> DataF
     first = numbered.select("shard", "rank", "c", (F.col("_w") + F.col("_b")).alias("first"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, _, blocks = held.value
+        ranks, blocks, _ = held.value
         for batch in batches:
             shard, rank, count, start = (batch.column(k).to_numpy() for k in range(4))
             for k in range(len(shard)):
                 size = int(blocks[np.searchsorted(ranks, rank[k])])
                 j = start[k] + np.arange(count[k])
-                j = j[j < LIMIT * size]
                 block = np.empty(len(j), np.int64)
                 for epoch in np.unique(j // size):
                     mine = j // size == epoch

@@ -76,6 +76,18 @@ def test_mix(spark, odd):
     assert source_mix.mixture(empty, Scratch(spark, "t"))[1].count() == 0
 
 
+def test_every_source_gets_its_slots(spark):
+    """Beside a hot source, and in a last shard that is not full."""
+    import pandas as pd
+
+    wanted = [100_000, *[3] * 200, *[30] * 20, *[1] * 50, 0]
+    sources = pd.DataFrame({"rank": range(len(wanted)), "slots": wanted, "n_blocks": [-(-n // 3) for n in wanted]})
+    got = {r["rank"]: (r.n, r.d, r.low, r.high) for r in source_mix.slots(spark, sources, Scratch(spark, "t")).groupBy("rank").agg(F.count("j").alias("n"), F.count_distinct("j").alias("d"), F.min("j").alias("low"), F.max("j").alias("high")).collect()}
+    assert got == {k: (n, n, 0, n - 1) for k, n in enumerate(wanted) if n}
+    sizes = source_mix.slots(spark, sources, Scratch(spark, "t")).groupBy("shard").count().orderBy("shard").collect()
+    assert [r["count"] for r in sizes[:-1]] == [source_mix.SHARD_SLOTS] * (len(sizes) - 1) and sum(r["count"] for r in sizes) == sum(wanted)
+
+
 def test_taken_words_keep_their_spaces():
     assert source_mix.take_words("a  b\nc d", [(0, 2, 2), (2, 1, 1)]) == "a  b\nc\na  b"
 
