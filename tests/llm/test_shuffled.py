@@ -195,6 +195,14 @@ def test_model_grows_with_its_contexts(spark, monkeypatch):
     assert seen == len(rows)
 
 
+def test_learning_weighs_words_by_their_counts():
+    part = context_mixing.Part([b"ab", b"b"], np.zeros(2, np.int64), np.array([1000, 3]))
+    learned = context_mixing.start_weights(), context_mixing.start_map(), context_mixing.start_wrong()
+    bits = (4,) * context_mixing.HASHED
+    context_mixing.learn(part, part.exact([], {}), np.zeros((2, context_mixing.offsets(bits)[-1]), np.uint16), bits, *learned)
+    assert (learned[1][1] - context_mixing.start_map()[1]).sum() == pytest.approx(8 * (3 * 1000 + 2 * 3))
+
+
 def test_repeats(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab cd") for _ in range(400)) for _ in range(4)]
