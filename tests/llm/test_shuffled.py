@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from driftrank.llm import chat_snapshots, context_mixing, kd_shards, near_dedup, source_mix, suffix_family, url_cascade
 from driftrank.llm.common import Scratch
+from tests.llm import brute
 from tests.llm.brute import ODD, SCHEMA, components, repeats
 
 
@@ -145,62 +146,115 @@ def test_scores(spark, odd):
 
 
 def test_model_is_a_distribution():
-    """All that can follow a beginning adds up to 1."""
-    words = [b"ab", b"abc", b"b"]
-    k = np.zeros(256, np.int32)
-    totals = np.zeros((2, int(context_mixing._OFFSETS[-1])), np.int64)
-    context_mixing.count_bits(words, k[:3], np.array([3, 2, 1]), totals)
-    tables = context_mixing.packed_counts(totals)
-    learned = context_mixing.start_weights(), context_mixing.start_map(), context_mixing.start_wrong()
-    coded = context_mixing.Coded([bytes([x]) for x in range(256)], k)
-    x, gate, _ = context_mixing.inputs(coded, tables, learned[2], False)
-    _, p, _ = context_mixing.mixed(x, gate, *learned[:2])
-    first = np.where(coded.bits.ravel() == 1, p, 1 - p).reshape(-1, 8).prod(axis=1)[coded.starts]
-    assert first.sum() == pytest.approx(1)
-
-
-def test_model_grows_with_its_contexts(spark, monkeypatch):
-    """Beginnings are counted apart, over edges of ranges too, and tables are larger than what is counted."""
-    monkeypatch.setattr(context_mixing, "TABLE_BITS", (4,) * 6)
-    rng = random.Random(6)
-    words = {("".join(rng.choice("abc\x01é") for _ in range(rng.randint(1, 9)))).encode() for _ in range(6000)} | {b"\xff"}
-    rows = [(w, k, rng.choice([0, 1, 2, 100_000])) for w in sorted(words) for k in (0, 3) if k == 0 or rng.random() < 0.4]
-    want, contexts = collections.defaultdict(lambda: [0, 0]), set()
-    for w, k, c in rows:
-        ended = w if w == b"\xff" else w + b" "
-        for p, byte in enumerate(ended):
-            for j in range(8):
-                for kind in (k, None):
-                    want[kind, ended[:p], j, byte >> 8 - j][byte >> 7 - j & 1] += c
-                if c:
-                    contexts.add((k, min(p, 4), ended[max(0, p - 4) : p], j, byte >> 8 - j))
-    scratch = Scratch(spark, "t")
-    ordered, edges = context_mixing.in_ranges(spark.createDataFrame(rows, "word binary, k int, ck bigint"), 5, scratch)
-    assert len(edges) == 5
-    shared, bits, counted = context_mixing.survey(ordered, spark.sparkContext.broadcast(edges), scratch)
-    assert abs(counted[3] - len(contexts)) < 0.4 * len(contexts) and all(1 << b >= 2 * n for b, n in zip(bits, counted))
-    seen = 0
-    for number, ends in edges.items():
-        held = ordered.where(F.col("part") == number).toArrow()
-        part = context_mixing._part(held)
-        by_class, of_all = part.exact(ends, shared)
-        for i, (w, k) in enumerate(zip(part.words, part.classes.tolist())):
-            ended = w if w == b"\xff" else w + b" "
-            for p, byte in enumerate(ended):
-                for j in range(8):
-                    for got, kind in ((by_class, k), (of_all, None)):
-                        n = np.array(want[kind, ended[:p], j, byte >> 8 - j])[:, None]
-                        assert (got[:, part.starts[i] + p, j] == context_mixing.packed_counts(n)[:, 0]).all()
-            seen += 1
-    assert seen == len(rows)
-
-
-def test_learning_weighs_words_by_their_counts():
-    part = context_mixing.Part([b"ab", b"b"], np.zeros(2, np.int64), np.array([1000, 3]))
-    learned = context_mixing.start_weights(), context_mixing.start_map(), context_mixing.start_wrong()
-    bits = (4,) * context_mixing.HASHED
-    context_mixing.learn(part, part.exact([], {}), np.zeros((2, context_mixing.offsets(bits)[-1]), np.uint16), bits, *learned)
-    assert (learned[1][1] - context_mixing.start_map()[1]).sum() == pytest.approx(8 * (3 * 1000 + 2 * 3))
+    """All symbols that can follow a context add up to 1, and so do all bytes that can follow a beginning."""
+    rng = np.random.default_rng(1)
+    code = context_mixing.Code(rng.integers(1, 1000, 50))
+    assert (0.5 ** code.length).sum() == pytest.approx(1)
+    nodes, bits, n = code.decisions(np.arange(50))
+    mixer = context_mixing.Mixer(3, whole=True)
+    mixer.weights += rng.normal(0, 0.1, mixer.weights.shape)
+    by_node = [rng.integers(0, 40, (2, 49)) for _ in range(2)]
+    counts = [code.counts[nodes], *(context_mixing.packed(*x)[nodes] for x in by_node)]
+    logs = mixer.log10(counts, bits, np.zeros(len(bits), bool), None)
+    assert (10 ** np.bincount(np.repeat(np.arange(50), n), logs)).sum() == pytest.approx(1, abs=1e-5)
+    spelled = context_mixing.Spelled([bytes([x]) for x in range(255)] + [context_mixing.END])
+    table = context_mixing.packed(*rng.integers(0, 5, (2, 1 << 10)))
+    total = 0.0
+    for owner, bits, slots, _, begun in spelled.stretches((10, 10), 10):
+        logs = context_mixing.Mixer(3).log10([table[x] for x in (*slots, begun)], bits, np.zeros(len(bits), bool), None).reshape(-1, 8).sum(axis=1)
+        first = np.diff(owner, prepend=-1) > 0
+        total += (10 ** logs[first]).sum()
+    assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_of_a_part_by_hand(monkeypatch):
+    """Against plain loops with exact contexts."""
+    monkeypatch.setattr(context_mixing, "LEAST_BITS", 24)
+    monkeypatch.setattr(context_mixing, "CHUNK", 16)
+    rng = random.Random(2)
+    symbols = np.array([rng.choice([0, 0, 1, 2, 3, 4, 5]) for _ in range(300)])
+    symbols[100:140] = symbols[200:240]
+    train = np.array([rng.random() < 0.8 for _ in symbols])
+    before = [np.concatenate([np.full(k, 99), symbols[:-k]]).astype(np.uint32) for k in (1, 2, 3)]
+    code = context_mixing.Code(np.bincount(symbols[train], minlength=6))
+    got = context_mixing.score_part(code, symbols, before, train)
+    assert got == pytest.approx(brute.mixed(code, symbols, before, train, 16), abs=1e-3)
+
+
+def _whole(docs, plan, m, head):
+    """The parts of the model without Spark."""
+    import pyarrow as pa
+
+    table = context_mixing._Table(zip(head, range(len(head))))
+    rows = []
+    for number in range(0, len(docs), 10):
+        block = context_mixing._Block(number, plan, table)
+        for d in docs[number : number + 10]:
+            rows += block.add(*d)
+        rows += block.close()
+    names, groups, out = ("part", "block", "seq", "body"), collections.defaultdict(list), []
+    for r in rows:
+        groups[r[0]].append(dict(zip(names, r)))
+    for g in groups.values():
+        rng = random.Random(1)
+        rng.shuffle(g)  # a shuffle keeps no order
+        out += context_mixing._scored(pa.Table.from_pylist(g, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("seq", pa.int32()), ("body", pa.binary())])), m).to_pylist()
+    by_block = collections.defaultdict(list)
+    for r in out:
+        by_block[r["block"]].append(r)
+    return {r["doc_id"]: r for b in by_block.values() for r in context_mixing._merged(pa.Table.from_pylist(b)).to_pylist()}, len(groups)
+
+
+def test_parts_of_hot_words(monkeypatch):
+    """Words before more tokens than a part has, words hot in held-out texts alone, texts in many pieces: nothing is lost."""
+    rng = random.Random(4)
+    docs = [(i, i % 4 == 0, " ".join(rng.choice(["the", "the", "a", f"w{rng.randrange(20)}", f"r{i}{rng.randrange(900)}"] + ["only"] * (i % 4 == 0)) for _ in range(60)).encode()) for i in range(50)]
+    c = collections.Counter(w for _, t, x in docs if not t for w in [*x.split(), context_mixing.END])
+    head = [w for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0])) if k > 1]
+    n = np.array([c[w] for w in head])
+    total = float(sum(c.values()) + len(c) + 1)
+    rare = [w for w, k in c.items() if k == 1]
+    spelling = (16, 16, 16, 16), [np.zeros(1 << 16, np.uint32)] * 4
+    base = np.log10((n + 1) / total)
+    results = []
+    for salts, hot, edges, piece in ((1, {}, [], 1 << 20), (7, {b"only": (3, 0)}, sorted(rare)[::400], 50)):
+        monkeypatch.setattr(context_mixing, "PIECE", piece)
+        monkeypatch.setattr(context_mixing, "PART", 1 << 19 if piece > 50 else 40)
+        plan = {"escape": len(head), "base": base, "salts": np.full(len(head) + 1, salts, np.uint64), "parts": salts, "edges": edges, "hot": hot}
+        code = context_mixing.Code(np.append(n, len(rare)))
+        got, groups = _whole(docs, plan, {"parts": salts, "code": code, "spelling": spelling, "hot": hot, "total": total}, head)
+        assert groups >= salts + len(edges) + 1 and len(got) == len(docs)
+        for d, t, x in docs:
+            w = [*x.split(), context_mixing.END]
+            assert (got[d]["held_out"], got[d]["n_tokens"], got[d]["n_known"], got[d]["n_bytes"]) == (t, len(w), sum(c[y] > 0 for y in w), len(x) + 2)
+            assert got[d]["base_score"] == pytest.approx(sum(math.log10((c[y] + 1) / total) for y in w)) and got[d]["score"] < 0
+        results.append(got)
+    plan = {"escape": len(head), "base": base, "salts": np.ones(len(head) + 1, np.uint64), "parts": 1, "edges": [], "hot": {}}
+    monkeypatch.setattr(context_mixing, "PIECE", 30)
+    again, _ = _whole(docs, plan, {"parts": 1, "code": code, "spelling": spelling, "hot": {}, "total": total}, head)
+    assert [again[d]["score"] for d, *_ in docs] == pytest.approx([results[0][d]["score"] for d, *_ in docs])
+
+
+def test_long_words_are_spelled_in_stretches(monkeypatch):
+    words = [b"ab", bytes(random.Random(1).choices(b"abc", k=300_000)), b"abc"]
+    tables = [np.zeros(1 << 16, np.uint32)] * 4
+    got = context_mixing.score_words(words, np.array([3, 0, 1]), (16,) * 4, tables)
+    assert np.isfinite(got).all() and got[1] < got[0] < 0
+    short = [b"abcabc", b"abcabd", b"x" * 40]
+    whole = list(context_mixing.Spelled(short).stretches((12,), 12))
+    monkeypatch.setattr(context_mixing, "BYTES_AT_ONCE", 5)
+    cut = list(context_mixing.Spelled(short).stretches((12,), 12))
+    for k in (0, 1, 4):
+        assert (np.concatenate([x[k] for x in cut]) == whole[0][k]).all()
+    assert (np.concatenate([x[2][0] for x in cut]) == whole[0][2][0]).all()
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(50))) for i in range(120)] + [(200, "one text that comes twice " * 5), (207, "one text that comes twice " * 5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one, two = ({r.doc_id: r.score for r in context_mixing.score(docs.repartition(n, "doc_id")).collect()} for n in (1, 7))
+    assert one == two and one[200] > -60 > max(one[i] for i in range(120))  # what occurs twice stands out
 
 
 def test_repeats(spark):
