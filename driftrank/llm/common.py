@@ -2,38 +2,65 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Bytes of text that a worker turns into one batch of output.
-BATCH_BYTES = 4 << 20
+#: Bytes of text that a worker turns into one batch of output; bytes that Spark sends a worker at once, at most.
+BATCH_BYTES, ARROW_BYTES = 4 << 20, 8 << 20
+#: Shuffle files go as soon as the table that they were for is written.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def scoped(spark: SparkSession, conf: Mapping[str, str]) -> Iterator[None]:
+    """Settings that hold for the tables written within."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """``spark``, which from now on sends Python workers no more than ARROW_BYTES at once, whatever the rows; results are the same."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none, and driver and executors are one process, a temporary folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         named = context.getCheckpointDir()
         if not named:
+            if not re.fullmatch(r"local(\[[^]]*])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = "file://" + tempfile.mkdtemp(prefix="driftrank-")
             context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -47,23 +74,17 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+        self.spark = bounded(spark)
         self.root = f"{shared_dir(spark)}/driftrank-{label}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        with scoped(self.spark, TIDY):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def free(self) -> None:
-        """Let go of the shuffle files of frames that nothing refers to any more; Spark frees them when its driver collects garbage."""
-        for _ in range(2):  # the first collection finds the frames, the second what they held
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.7)
-
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -86,10 +107,10 @@ def n_partitions(spark: SparkSession) -> int:
 
 def batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch with about BATCH_BYTES in ``column``, and a row at least."""
-    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)], np.int64)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
     start = 0
     while start < batch.num_rows:
-        upto = max(start + 1, int(np.searchsorted(np.cumsum(sizes[start:]), BATCH_BYTES)) + start)
+        upto = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH_BYTES, side="right")))
         yield batch.slice(start, upto - start)
         start = upto
 
@@ -103,6 +124,7 @@ def _replaced(df: DataFrame, **new: str) -> tuple[DataFrame, str]:
 
 def map_column(df: DataFrame, column: str, new: dict[str, str], function: Callable[[list], list[pa.Array]], keep: bool = False) -> DataFrame:
     """``df`` with ``column`` given up (unless ``keep``) for the columns of ``new`` that ``function`` makes of its values."""
+    bounded(df.sparkSession)
     base = df if keep else df.withColumnRenamed(column, "_given")
     given = column if keep else "_given"
     base, schema = _replaced(base, **new)

@@ -185,13 +185,10 @@ def _whole(docs, plan, m, head):
     """The parts of the model without Spark."""
     import pyarrow as pa
 
-    table = context_mixing._Table(zip(head, range(len(head))))
-    rows = []
+    dealer, rows = context_mixing.Dealer(plan, head), []
     for number in range(0, len(docs), 10):
-        block = context_mixing._Block(number, plan, table)
-        for d in docs[number : number + 10]:
-            rows += block.add(*d)
-        rows += block.close()
+        ids, tests, texts = zip(*docs[number : number + 10])
+        rows += dealer.packets(number, list(ids), np.array(tests), pa.array([x.decode() for x in texts]))
     names, groups, out = ("part", "block", "seq", "body"), collections.defaultdict(list), []
     for r in rows:
         groups[r[0]].append(dict(zip(names, r)))
@@ -219,7 +216,6 @@ def test_parts_of_hot_words(monkeypatch):
     results = []
     for salts, hot, edges, piece in ((1, {}, [], 1 << 20), (7, {b"only": (3, 0)}, sorted(rare)[::400], 50)):
         monkeypatch.setattr(context_mixing, "PIECE", piece)
-        monkeypatch.setattr(context_mixing, "PART", 1 << 19 if piece > 50 else 40)
         plan = {"escape": len(head), "base": base, "salts": np.full(len(head) + 1, salts, np.uint64), "parts": salts, "edges": edges, "hot": hot}
         code = context_mixing.Code(np.append(n, len(rare)))
         got, groups = _whole(docs, plan, {"parts": salts, "code": code, "spelling": spelling, "hot": hot, "total": total}, head)
@@ -272,31 +268,77 @@ def test_repeats(spark):
     assert got == repeats(rows)
 
 
-def test_repeats_in_pieces_and_levels(monkeypatch):
-    """A text longer than the buffer, and families whose levels merge."""
+def _entries(docs, hot=()):
+    import pyarrow as pa
+
+    batches = (pa.RecordBatch.from_pydict({"doc": [d], "data": [x]}) for d, x in docs)
+    return [r for b in suffix_family._indexed(batches, np.array(sorted(hot), np.uint64)) for r in b.to_pylist()]
+
+
+def test_suffixes_of_pieces(monkeypatch):
+    """A text longer than the buffer: every window belongs to one suffix."""
     monkeypatch.setattr(suffix_family, "BUFFER", 4096)
-    rng = np.random.default_rng(1)
-    part = rng.integers(97, 123, 5000, dtype=np.uint8).tobytes()
-    pieces = list(suffix_family._pieces(iter([__import__("pyarrow").RecordBatch.from_pydict({"doc": [1, 2], "data": [part + part, part]})])))
-    windows = sum(len(p) - 99 for held in pieces for _, _, p in held)
-    assert windows == (10000 - 99) + (5000 - 99)
-    family, found = suffix_family.Family(), 0
-    for k in range(9):
-        keys = np.arange(40, dtype=np.uint64)
-        found += sum(len(x[0]) for x in family.add([keys, keys, np.full(40, k), np.zeros(40, np.int64), np.ones(40, np.int64)]))
-    for rows, undecided in family.close():
-        assert not undecided or not len(rows[0])
-        found += len(rows[0])
-    assert found == 8 * 40
+    part = np.random.default_rng(1).integers(97, 123, 5000, dtype=np.uint8).tobytes()
+    found = _entries([(1, part + part), (2, part)])
+    for doc, size in ((1, 10000), (2, 5000)):
+        assert sorted(r["at"] + k for r in found if r["doc"] == doc for k in range(r["n"])) == list(range(size - 99))
+    keys = {r["key"] for r in found if not r["done"]}
+    dealt = _entries([(2, part)], [np.array([k]).view(np.uint64)[0] for k in keys])
+    assert all(r["hot"] for r in dealt) and not keys & {r["key"] for r in dealt}
+
+
+def test_a_task_settles_what_it_has_seen():
+    part = np.random.default_rng(2).integers(97, 123, 20_000, dtype=np.uint8).tobytes()
+    found = _entries([(d, part) for d in (3, *range(4, 60), 1, 2, *range(60, 99))])
+    open_ = collections.Counter(r["doc"] for r in found if not r["done"])
+    assert open_.keys() == {1, 3} and open_[1] == open_[3] == len([r for r in found if r["doc"] == 1])
+    first = {(r["key"], r["dig"]) for r in found if r["doc"] == 1}
+    assert all(r["done"] or (r["key"], r["dig"]) in first for r in found)
 
 
 def test_repeats_far_into_a_text():
     """A passage beyond byte 2^24 of a text comes again in another one."""
     text = np.random.default_rng(4).integers(97, 123, 17 << 20, dtype=np.uint8).tobytes()
-    passage = text[(1 << 24) + 1000 :][:5000]
-    batches = [__import__("pyarrow").RecordBatch.from_pydict({"doc": [d], "data": [x]}) for d, x in ((1, text), (2, passage))]
-    found = [(spot >> 8, spot & 255) for b in suffix_family._resolve(suffix_family._index(iter(batches))) for doc, spot in zip(b.column("doc").to_pylist(), b.column("spot").to_pylist()) if doc == 2]
-    assert sorted(at + k for at, n in found for k in range(n)) == list(range(5000 - 99))
+    found = _entries([(1, text), (2, text[(1 << 24) + 1000 :][:5000])])
+    assert max(r["at"] for r in found) > 1 << 24
+    keys = {r["key"] for r in found if r["doc"] == 1}
+    again = [r for r in found if r["doc"] == 2 and (r["done"] or r["key"] in keys)]
+    assert sorted(r["at"] + k for r in again for k in range(r["n"])) == list(range(5000 - 99))
+
+
+def test_family_takes_batches_and_is_opened_again(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(600)).encode() for _ in range(6)]
+    docs = [(1, texts[0]), (2, texts[1]), (3, texts[0] + texts[2]), (4, texts[3]), (5, texts[1]), (6, texts[4] + texts[3]), (7, texts[2])]
+    scratch, held = Scratch(spark, "t"), collections.defaultdict(set)
+    for k, (doc, data) in enumerate(docs):
+        family = suffix_family.Family(spark, scratch.path("family"), 3)  # opened anew for each batch
+        assert [level for level, _ in family.levels] == [n for n in range(3) if k >> n & 1]
+        for r in family.add(spark.createDataFrame([(doc, data)], "doc bigint, data binary"), scratch).collect():
+            held[r.doc] |= set(range(r.spot >> 8, (r.spot >> 8) + (r.spot & 255)))
+        family.close()
+    assert held[1] == held[2] == held[4] == set() and held[5] == set(range(501))
+    assert len(held[3]) > 400 and max(held[3]) < 501 and len(held[6]) > 400 and min(held[6]) >= 600 and len(held[7]) > 400
+    family = suffix_family.Family(spark, scratch.path("family"))
+    assert family.buckets == 3 and family.undecided().count() > 0 and len(family.levels) == 1
+    family.close(keep=False)
+
+
+def test_repeats_over_batches_and_hot_keys(spark, monkeypatch):
+    """One common string with other surroundings in every text, dealt by surroundings; batches that split the rest."""
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line, rows = "=" * 45, []
+    for i in range(300):
+        rows.append((i * 3, noise(rng.randint(20, 90)) + line + noise(60) + (rows[-7][1] if i % 5 == 0 and i > 7 else "")))
+    monkeypatch.setattr(suffix_family, "SHARE", 2)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    data = docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("data"))
+    assert len(suffix_family.hot_keys(data, 4, 1500)) > 0
+    for n in (1, 5):
+        monkeypatch.setattr(suffix_family, "BATCHES", n)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in suffix_family.cleaned(docs).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) sha").collect()}
+        assert got == repeats(rows)
 
 
 def test_repeats_of_odd_rows(spark, odd):
