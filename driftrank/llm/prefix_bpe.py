@@ -13,7 +13,8 @@ stand there together, their merge does not come before the next merge on either
 
 Defined results: null is the empty text with no ids; texts of any length are encoded whole, in pieces;
 equal texts give equal ids; empty tables give empty tables; columns named like the outputs are replaced,
-others pass through. Work is a narrow map; the rank file is broadcast (a vocabulary, fixed in size).
+others pass through. Work is a narrow map; the rank file is broadcast (a vocabulary, fixed in size). What a worker
+remembers is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftrank.llm.common import map_column, table
 
-#: Pieces remembered by a worker, in each of two generations.
-REMEMBERED = 200_000
+#: Bytes of pieces and ids that a worker remembers in each of two generations, about; characters of a piece worth it; pairs of tokens.
+REMEMBERED, WORTH, PAIRS = 24 << 20, 64, 200_000
 _NEVER = 1 << 60
 
 
@@ -132,7 +133,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > 2 * REMEMBERED:
+        if len(self._pairs) >= PAIRS:
             self._pairs.clear()
         self._pairs[key] = valid
         return valid
@@ -212,23 +213,26 @@ class PrefixTable:
 
 
 class _Pieces(dict):
-    """Piece -> its ids as packed integers; the older generation is dropped when the younger is full."""
+    """Piece -> its ids as packed integers; the older generation is dropped when the younger is full, long pieces are not kept."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
+        self.vocabulary, self.older, self.size = vocabulary, {}, 0
 
     def compute(self, piece: str) -> bytes:
         return array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > WORTH:
+            return self.compute(piece)
         packed = self.older.get(piece)
         if packed is None:
             packed = self.compute(piece)
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
+        if self.size >= REMEMBERED:
+            self.older, self.size = dict(self), 0
             self.clear()
         self[piece] = packed
+        self.size += 200 + 4 * len(piece) + len(packed)
         return packed
 
 
@@ -287,6 +291,18 @@ def _decoder(rank_file: bytes) -> Decoder:
     return Decoder(rank_file)
 
 
+DIGESTS = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def _digested(decoder: Decoder, packed: list[bytes]) -> list[pa.Array]:
+    """The columns of DIGESTS of lists of ids."""
+    rows = []
+    for x in packed:
+        ids = np.frombuffer(x, "<i4").tolist()
+        rows.append((len(ids), hashlib.sha256(decoder.listed(ids)).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()))
+    return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with the text replaced by ``ids``: a packed little-endian ``binary`` of 32-bit ids."""
     held = docs.sparkSession.sparkContext.broadcast(rank_file)
@@ -313,14 +329,18 @@ def digests(encoded: DataFrame, rank_file: bytes) -> DataFrame:
     """``ids`` given up for their count and SHA-256, and for the SHA-256 of the bytes they decode to."""
     held = encoded.sparkSession.sparkContext.broadcast(rank_file)
 
-    def run(packed: list) -> list[pa.Array]:
-        decoder, rows = _decoder(held.value), []
-        for x in packed:
-            ids = np.frombuffer(x, "<i4").tolist()
-            rows.append((len(ids), hashlib.sha256(decoder.listed(ids)).hexdigest(), hashlib.sha256(decoder.decode(ids)).hexdigest()))
-        return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+    return map_column(encoded, "ids", DIGESTS, lambda packed: _digested(_decoder(held.value), packed))
+
+
+def encoded_digests(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """``digests(encode(...))`` in one worker, so that ids need not leave it."""
+    held = docs.sparkSession.sparkContext.broadcast(rank_file)
+
+    def run(texts: list) -> list[pa.Array]:
+        encoder, decoder = _encoder(held.value, pattern), _decoder(held.value)
+        return _digested(decoder, [encoder.encode(x or "").tobytes() for x in texts])
 
-    return map_column(encoded, "ids", {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, run)
+    return map_column(docs, text, DIGESTS, run)
 
 
 def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
@@ -332,11 +352,11 @@ def public_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_vocabulary()
-    encoded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    return digests(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    encoded = encoded_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: every document's ids, count and digests."""
+    """Pipeline stage, the last: of every document all columns but the text and its length, and the ids' count and digests."""
     ranks, pattern = public_vocabulary()
-    return digests(encode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern), ranks)
+    return encoded_digests(docs.drop("n_chars"), ranks, pattern)
