@@ -2,18 +2,21 @@
 
 Each source's documents, in a seeded order, are one stream of words that is packed into blocks of BLOCK words. Sources
 weigh 1, 2, 3, 1, 2, 3, ... by code point; a source's share stops at LIMIT times its size and the excess goes to the
-others by weight. Every output shard draws how many of its SHARD_SLOTS slots each source gets: the whole part of its
-share for certain, the rest without replacement from what the whole parts of all shards leave of the sources' slots, so
-that every source gets its slots over all shards, however few they are. A source's slots count on from shard to shard,
-and slot number j takes the block at place j mod n of a pseudorandom permutation of the source's n blocks, a new one for
-every n slots. A source has no more than LIMIT slots a block, so no block is taken more than LIMIT times.
+others by weight. A target is a number of slots. Every output shard draws the sources of its SHARD_SLOTS slots, which
+gives it multinomial counts; the draws are without replacement (the slots of all sources in one row, which the shards take
+in a pseudorandom order), so that every source gets its slots over all shards, however few they are. A source's slots
+count on from shard to shard, and slot number j takes the block at place j mod n of a pseudorandom permutation of the
+source's n blocks, a new one for every n slots. A source has no more than LIMIT slots a block, so no block is taken more
+than LIMIT times.
 
 Positions in a stream are sums over blocks of documents (BUCKET_ROWS rows each), so a source that holds a third of all
 rows is dealt like any other. Draws and permutations depend on the seed, the shard and the source only, so reruns
-agree. The table of sources (a name, a size, a weight) is bounded by MAX_SOURCES, and checked, before a task gets it.
+agree. The table of sources (a name, a size, a weight) is counted before a task gets it; more than MAX_SOURCES are refused.
 
-Defined results: a null text has no words and is not taken; a null source is a source of its own, the last; repeated
-rows are each packed; empty tables give empty tables; a source without words has a target of 0.
+Defined results: a null or empty text has no words and is not taken; a text of any length is packed whole, into as many
+blocks as it fills; a null source is a source of its own, the last; equal rows are each packed, and rows alike in id and
+size stand in the order of the table; empty tables give empty tables; a source without words has a target of 0. The stage
+passes all columns through; ``n_chars`` is counted anew.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from driftrank.llm.common import WORD, Scratch, table
+from driftrank.llm.common import WORD, Scratch, batches as sliced, n_partitions, table
 
 BLOCK, SHARD_SLOTS, LIMIT, SEED = 128, 1024, 3, 20
 BUCKET_ROWS = 4096
-MAX_SOURCES = 1_000_000
+MAX_SOURCES, BROADCAST_SOURCES = 1_000_000, 100_000
 _U = np.uint64
 
 
@@ -75,29 +79,17 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
 
 
 class Draws:
-    """How many slots of each shard each source gets; over all shards source ``i`` gets ``wanted[i]``.
-
-    The slots that whole parts leave are one row, the sources after each other; the shards take them in a pseudorandom order.
-    """
+    """How many slots of each shard each source gets; over all shards source ``i`` gets ``wanted[i]``."""
 
     def __init__(self, wanted: np.ndarray, seed: int = SEED):
-        self.total = int(wanted.sum())
+        self.ends, self.seed = np.cumsum(wanted), seed
+        self.total = int(self.ends[-1])
         self.shards = -(-self.total // SHARD_SLOTS)
-        self.last = self.total - (self.shards - 1) * SHARD_SLOTS
-        # whole parts of a full shard and of the last one
-        self.sure, self.sure_last = wanted * SHARD_SLOTS // self.total, wanted * self.last // self.total
-        self.spare = SHARD_SLOTS - int(self.sure.sum())
-        self.ends = np.cumsum(wanted - (self.shards - 1) * self.sure - self.sure_last)
-        self.seed = seed
 
     def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         """The sources that get slots of a shard, and how many."""
-        left, first = int(self.ends[-1]), shard * self.spare
-        sure, upto = (self.sure_last, left) if shard == self.shards - 1 else (self.sure, first + self.spare)
-        certain = np.flatnonzero(sure)
-        drawn = np.searchsorted(self.ends, permuted(np.arange(first, upto), left, self.seed), side="right") if upto > first else certain[:0]
-        which, count = np.unique(np.concatenate([np.repeat(certain, sure[certain]), drawn]), return_counts=True)
-        return which, count
+        mine = np.arange(shard * SHARD_SLOTS, min((shard + 1) * SHARD_SLOTS, self.total))
+        return np.unique(np.searchsorted(self.ends, permuted(mine, self.total, self.seed), side="right"), return_counts=True)
 
 
 def sources_of(sized: DataFrame) -> pd.DataFrame:
@@ -165,7 +157,8 @@ def slots(spark: SparkSession, sources: pd.DataFrame, scratch: Scratch) -> DataF
                     block[mine] = permuted(j[mine] % size, size, SEED * 1_000_003 + int(rank[k]) * 7 + int(epoch))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard[k])), pa.array(np.full(len(j), rank[k])), pa.array(j), pa.array(block)], ["shard", "rank", "j", "block"])
 
-    return first.mapInArrow(take, "shard bigint, rank bigint, j bigint, block bigint")
+    # dealt by shard, or adaptive execution would put the few rows of all shards into one task
+    return first.repartition(min(draws.shards, n_partitions(spark)), "shard").mapInArrow(take, "shard bigint, rank bigint, j bigint, block bigint")
 
 
 def pieces(placed: DataFrame) -> DataFrame:
@@ -182,8 +175,8 @@ def mixture(held: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, pd
     spark = held.sparkSession
     sized = scratch.keep(held.select("doc_id", "source", n_words(F.col("text")).alias("size"), "row"), "sized")
     sources = sources_of(sized)
-    names = spark.createDataFrame([(s, int(r)) for s, r in zip(sources["source"], sources["rank"], strict=True)], "_source string, rank bigint")
-    ranked = sized.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "row", "rank", "size")
+    names = spark.createDataFrame(pa.table({"_source": pa.array(sources["source"], pa.string(), from_pandas=True), "rank": pa.array(sources["rank"], pa.int64())}))
+    ranked = sized.join(F.broadcast(names) if len(sources) <= BROADCAST_SOURCES else names, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "row", "rank", "size")
     taken = slots(spark, sources, scratch).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
     return ranked, pieces(positions(ranked)).join(taken, ["rank", "block"]), sources
 
@@ -195,31 +188,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = taken.select("doc_id", "row", "rank", (F.col("words") * F.col("times")).alias("taken"), F.lit(0).cast("long").alias("size"))
     every = words.unionByName(rows.withColumn("taken", F.lit(0).cast("long")))
     summed = every.groupBy("doc_id", "row", "rank").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
-    known = zip(sources["rank"], sources["size"], sources["target"], strict=True)
-    facts = spark.createDataFrame([(int(r), int(n), float(t)) for r, n, t in known], "rank bigint, source_size bigint, target double")
-    return summed.join(F.broadcast(facts), "rank").select("doc_id", "size", "source_size", "target", "taken")
+    facts = spark.createDataFrame(pa.table({"rank": pa.array(sources["rank"], pa.int64()), "source_size": pa.array(sources["size"], pa.int64()), "target": pa.array(sources["target"], pa.float64())}))
+    return summed.join(F.broadcast(facts) if len(sources) <= BROADCAST_SOURCES else facts, "rank").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document that the mixture takes, with the words taken, as often as they are."""
+    """Pipeline stage: each document that the mixture takes, with the words taken, as often as they are, and all its columns."""
     scratch = Scratch(spark, "mixed")
-    held = scratch.keep(docs.select("doc_id", "text", "lang", "source", F.monotonically_increasing_id().alias("row")), "docs")
+    rest = F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
+    held = scratch.keep(docs.select("doc_id", "source", "text", rest, F.monotonically_increasing_id().alias("row")), "docs")
     _, taken, _ = mixture(held, scratch)
-    spans = taken.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("skip", "words", "times"))).alias("_spans"))
-    joined = held.join(spans, "row")
+    spans = taken.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("skip", "words", "times"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = []
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                    texts.append(take_words(text or "", [(s["skip"], s["words"], s["times"]) for s in spans]))
-                columns = {"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string()), "lang": batch.column("lang"), "source": batch.column("source"), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    out = joined.select("doc_id", "text", "lang", "source", "_spans").mapInArrow(run, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    return out.select(*docs.columns)
+            for batch in sliced(whole, "text"):
+                texts = [take_words(text or "", [(s["skip"], s["words"], s["times"]) for s in spans]) for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], ["rest", "text"])
+
+    out = held.join(spans, "row").select("rest", "text", "spans").mapInArrow(run, StructType([held.schema["rest"], held.schema["text"]]))
+    return out.select(*("text" if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in docs.columns))
 
 
 def take_words(text: str, spans: list[tuple[int, int, int]]) -> str:
