@@ -6,16 +6,18 @@
 3. Verification: SIGNS bytes are compared BATCH by BATCH; a pair goes as soon as the posterior probability that its
    similarity reaches the threshold (uniform prior) is below MISS. What survives is verified on the full sets.
 4. The rest: a bucket of three or more whose members are not all connected by then has all its pairs between
-   different components compared, in blocks of at most BLOCK members, where a union-find skips what has become
-   connected and a pair is looked at only in the first band it shares. Nothing is capped.
+   different components compared, in blocks of about BLOCK members and BLOCK_SHINGLES shingles, where a union-find
+   skips what has become connected and a pair is looked at only in the first band it shares. Nothing is capped.
 5. Components by alternating stars.
 
 Sets are built only for classes that share a bucket. A pair at the threshold shares no band with probability
-(1 - 0.75^ROWS)^BANDS = 8e-6, and is pruned with less than SIGNS / BATCH * MISS.
+(1 - 0.75^ROWS)^BANDS = 8e-6, and is pruned with less than SIGNS / BATCH * MISS. A class is named by 64 bits of its
+set's hash; a second hash tells whether two sets have one name, and then all are named anew with another seed.
 
 Defined results: texts without words have an empty set, link with nothing and are kept; equal texts link; rows of one
 doc_id are one document with several texts; rows without doc_id link with nothing, have no component and are kept;
-empty tables work; ``link`` passes other columns through.
+empty tables work; a text of any length is one set, of 8 bytes a shingle in memory; ``link`` returns its four columns
+only, the stage all columns of its rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ from driftrank.llm.components import components
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 60, 6
 SIGNS, BATCH, MISS = 128, 32, 1e-7
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+SEEDS = 5
 #: Ids up to which the classes whose sets are needed are broadcast (8 bytes each); beyond, a shuffle join.
 BROADCAST_IDS = 500_000
 SHINGLES_AT_ONCE = 100_000
@@ -95,9 +98,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return keys
 
 
-def class_of(found: np.ndarray) -> int:
+def class_of(found: np.ndarray, seed: int = 0) -> int:
     """A set's class, as a signed 64-bit number."""
-    return int.from_bytes(xxhash.xxh3_64_digest(found.tobytes()), "big", signed=True)
+    return int.from_bytes(xxhash.xxh3_64_digest(found.tobytes(), seed), "big", signed=True)
 
 
 def least_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> dict[int, int]:
@@ -145,8 +148,8 @@ def _groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch
             start, size, texts = k + 1, 0, []
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, c, keys, signs)`` of ``docs(doc_id, text)``: set size, class, band keys and signs, the last two packed."""
+def sketches(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """``(doc_id, n, c, c2, keys, signs)`` of ``docs(doc_id, text)``: set size, class and another hash, band keys and signs, the last two packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,23 +164,23 @@ def sketches(docs: DataFrame) -> DataFrame:
                     packed = band_keys(low)
                     for row, k in enumerate(now):
                         keys[k], signs[k] = packed[row].tobytes(), (low[row, :SIGNS] & np.uint32(255)).astype(np.uint8).tobytes()
-                arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n", "c", "keys", "signs"])
+                numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [class_of(s, seed) for s in sets], [class_of(s, seed + SEEDS) for s in sets])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n", "c", "c2", "keys", "signs"])
 
-    return docs.select("doc_id", utf8(F.col("text")).alias("data")).mapInArrow(run, "doc_id bigint, n bigint, c bigint, keys binary, signs binary")
+    return docs.select("doc_id", utf8(F.col("text")).alias("data")).mapInArrow(run, "doc_id bigint, n bigint, c bigint, c2 bigint, keys binary, signs binary")
 
 
 def _memberships(classes: DataFrame) -> DataFrame:
     """``(band, key, c)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
-            c = np.repeat(batch.column("c").to_numpy(), BANDS)
-            band = np.tile(np.arange(BANDS, dtype=np.int16), batch.num_rows)
-            for at in range(0, len(c), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(band[part]), pa.array(keys[part]), pa.array(c[part])], ["band", "key", "c"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+                c = np.repeat(batch.column("c").to_numpy(), BANDS)
+                band = np.tile(np.arange(BANDS, dtype=np.int16), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys), pa.array(c)], ["band", "key", "c"])
 
     return classes.select("c", "keys").mapInArrow(run, "band smallint, key bigint, c bigint")
 
@@ -211,14 +214,14 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, n_needed: int) -> DataFrame:
+def _sets(docs: DataFrame, needed: DataFrame, n_needed: int, seed: int = 0) -> DataFrame:
     """``(c, elements)`` of the classes in ``needed(c, first)``, from the text of their first document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for _, texts in _groups(whole, "data"):
                 sets = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "elements"])
 
     ids = needed.select(F.col("first").alias("doc_id")).distinct()
     some = docs.join(F.broadcast(ids) if n_needed <= BROADCAST_IDS else ids, "doc_id", "left_semi")
@@ -279,18 +282,22 @@ def compare_block(members: pa.Table) -> pa.Table:
 
 def _rest(shared: DataFrame, comps: DataFrame, sketch: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links that pivots did not show: buckets of three or more with members in different components."""
-    labelled = scratch.keep(shared.where("n > 2").join(comps.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")), "labelled")
+    shared = shared.where("members > 2").join(sketch.select("c", "n"), "c")
+    labelled = shared.join(comps.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    labelled = scratch.keep(labelled, "labelled")
     h = F.xxhash64("c")
     by_root = labelled.groupBy("band", "key", "root").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high")
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high")
     )
     buckets = by_root.groupBy("band", "key").agg(
-        F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("low").alias("low"), F.sum("high").alias("high")
+        F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main"),
+        F.sum("shingles").alias("shingles"), F.max_by("shingles", F.struct("m", "root")).alias("main_shingles"), F.sum("low").alias("low"), F.sum("high").alias("high")
     ).where("most < m")
     # Buckets with the same members are one, that of the first band. The members of a bucket's largest component need no
     # comparison among themselves: they are placed once for each block of the others.
-    kept = buckets.groupBy("m", "low", "high").agg(F.min(F.struct("band", "key", "main", "most")).alias("b")).select(
-        "b.band", "b.key", "b.main", F.ceil((F.col("m") - F.col("b.most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("b.most") / BLOCK).cast("int").alias("many")
+    blocks = lambda m, size: F.ceil(F.greatest(m / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    kept = buckets.groupBy("m", "low", "high").agg(F.min(F.struct("band", "key", "main", "most", "shingles", "main_shingles")).alias("b")).select(
+        "b.band", "b.key", "b.main", blocks(F.col("m") - F.col("b.most"), F.col("b.shingles") - F.col("b.main_shingles")).alias("few"), blocks(F.col("b.most"), F.col("b.main_shingles")).alias("many")
     )
     h = F.xxhash64(F.lit("block"), "c")
     is_main = F.col("root") == F.col("main")
@@ -306,16 +313,24 @@ def _rest(shared: DataFrame, comps: DataFrame, sketch: DataFrame, sets: DataFram
 
 def classes_linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, c)`` of every row, and ``(c, component_id)`` of every class with words."""
-    sketch = scratch.keep(sketches(docs), "sketch")
-    classes = scratch.keep(sketch.where("n > 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("signs").alias("signs")), "classes")
+    for seed in range(SEEDS):
+        sketch = scratch.keep(sketches(docs, seed), "sketch")
+        every = sketch.where("n > 0 and doc_id is not null").groupBy("c").agg(
+            F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.first("signs").alias("signs"), F.first("n").alias("n"), (F.min("c2") == F.max("c2")).alias("one")
+        )
+        classes = scratch.keep(every, "classes")
+        if classes.where("not one").isEmpty():
+            break
+    else:
+        raise RuntimeError("sets share names under every seed")
     rows = scratch.keep(sketch.select("doc_id", "n", "c"), "rows")
     scratch.drop("sketch")
     members = _memberships(classes)
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("band", "c").alias("h"), "c")).alias("p")).where("n > 1")
-    shared = scratch.keep(members.join(buckets.select("band", "key", "n", F.col("p.c").alias("pivot")), ["band", "key"]), "shared")
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(F.xxhash64("band", "c").alias("h"), "c")).alias("p")).where("members > 1")
+    shared = scratch.keep(members.join(buckets.select("band", "key", "members", F.col("p.c").alias("pivot")), ["band", "key"]), "shared")
     ids = shared.select("c").distinct()
     needed = scratch.keep(classes.join(ids, "c", "left_semi"), "needed")
-    sets = scratch.keep(_sets(docs.select("doc_id", "text"), needed, needed.count()).join(ids, "c", "left_semi").dropDuplicates(["c"]), "sets")
+    sets = scratch.keep(_sets(docs.select("doc_id", "text"), needed, needed.count(), seed).join(ids, "c", "left_semi").dropDuplicates(["c"]), "sets")
     pairs = shared.where("c <> pivot").select(F.least("c", "pivot").alias("a"), F.greatest("c", "pivot").alias("b")).distinct()
     # rows of one document are linked whatever their texts
     same = sketch_links(rows)
