@@ -36,11 +36,24 @@ def test_shards(spark, odd):
     assert first["size"] == len(rows[0][1]) + 16 and first.text_crc32 == zlib.crc32(rows[0][1].encode())
     target = sum(size.values()) // 5 + 1
     assert kd_shards.assign(docs, target_bytes=target).agg(F.max("shard")).first()[0] == 4
-    levels = kd_shards.fit(kd_shards.coordinates(docs), 3, num_shards=7)
-    split = {r.doc_id: r.shard for r in kd_shards.split(docs, levels).collect()}
+    _, tree = kd_shards.grow(docs, Scratch(spark, "t"), num_shards=7)
+    split = {r.doc_id: r.shard for r in kd_shards.split(docs, tree).collect()}
     assert split == {r.doc_id: r.shard for r in got}
 
 
+def test_shards_by_long_names_and_of_equal_rows(spark, monkeypatch):
+    """Names that differ late are told apart; equal rows are divided; cuts come from a join as from the expression."""
+    rows = [(i, "x" * 100, f"common_crawl_{'abcd'[i % 4]}", "en", 100) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.shard for r in kd_shards.assign(docs, num_shards=4).collect()}
+    assert len({(i % 4, s) for i, s in got.items()}) == 4
+    monkeypatch.setattr(kd_shards, "LITERAL_NODES", 0)
+    assert got == {r.doc_id: r.shard for r in kd_shards.assign(docs, num_shards=4).collect()}
+    same = spark.createDataFrame([(1, "text", "s", "en", 4)] * 400, SCHEMA)
+    sizes = collections.Counter(r.shard for r in kd_shards.assign(same, num_shards=4).collect())
+    assert sorted(sizes) == [0, 1, 2, 3] and max(sizes.values()) - min(sizes.values()) <= 2
+
+
 def test_shards_of_odd_rows(odd):
     got = kd_shards.assign(odd, num_shards=4).collect()
     assert len(got) == len(ODD) and {r.shard for r in got} <= set(range(4))
