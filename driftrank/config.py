@@ -11,7 +11,12 @@ WINDOW_RATIO = 0.1
 
 
 class Variant(Enum):
-    """How the next frontier is derived. All of them meet the same error bound."""
+    """How the next frontier is derived. All of them meet the same error bound.
+
+    ``vanilla``: the vertices that may be pushed. ``fast_frontier``: those that crossed the bound in the last round, from
+    what the push left behind. ``optimized``: those that crossed it or still lie beyond it. ``eager``: as vanilla, but a
+    round takes one residue class of ids, whose pushes the next class sees.
+    """
 
     OPTIMIZED = "optimized"
     FAST_FRONTIER = "fast_frontier"
@@ -44,6 +49,15 @@ class Slide:
     def total(self) -> int:
         return self.size * self.batches
 
+    def reported_total(self, n_edges: int) -> int:
+        """The total that reports name: no more than the stream has behind the first window."""
+        return min(self.total, n_edges - self.window)
+
+    @property
+    def report_every(self) -> int:
+        """Batches from one progress report to the next: large batches are reported each, small ones by the thousand."""
+        return 1 if self.size >= 100 else 1000
+
     @classmethod
     def by_ratio(cls, n_edges: int, slide_ratio: float, batches: int, window_ratio: float = WINDOW_RATIO) -> Slide:
         """A batch is a share of the window."""

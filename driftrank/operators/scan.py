@@ -20,8 +20,9 @@ def _offsets(totals: DataFrame) -> DataFrame:
 
 def _ranged(df: DataFrame, order: list) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), local.alias("_local")))
+    place = F.monotonically_increasing_id()  # numbers from n * 2^33 on in partition n
+    local, part = place.bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(place, 33)
+    return cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", part.alias("_part"), local.alias("_local")))
 
 
 def with_position(df: DataFrame, order: list) -> DataFrame:

@@ -108,7 +108,7 @@ ORACLE: dict[str, str] = {
     "out_degree": _with() + "SELECT id, count(src) AS d FROM vx LEFT JOIN e ON src = id GROUP BY 1",
     "in_degree": _with() + "SELECT id, count(src) AS in_d FROM vx LEFT JOIN e ON dst = id GROUP BY 1",
     "window_degree": _with(_window("w0", 0), _DEG0) + "SELECT id, d, in_d FROM dg",
-    "hopping_window_degree": _with("c AS (SELECT w, w // 2 AS h FROM cf)", "b AS (SELECT unnest(range(0, 4)) AS batch)") + "SELECT batch, src AS id, count(*) AS d FROM e, c, b WHERE pos >= batch * h AND pos < batch * h + w GROUP BY 1, 2",
+    "hopping_window_degree": _with("c AS (SELECT w, w // 2 AS h FROM cf)", "b AS (SELECT unnest(range(0, ((SELECT count(*) FROM e) - w) // h + 1)) AS batch FROM c)") + "SELECT batch, src AS id, count(*) AS d FROM e, c, b WHERE pos >= batch * h AND pos < batch * h + w GROUP BY 1, 2",
     "window_edges": _with(_window("w3", 3)) + "SELECT pos, src, dst FROM w3",
     "row_ptr": _with(_window("w0", 0), _DEG0) + "SELECT id, (coalesce(sum(d) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS row_ptr FROM dg",
     "adjacency_lists": _with(_window("w0", 0)) + "SELECT src AS id, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS neighbours FROM w0 GROUP BY 1",
@@ -149,7 +149,15 @@ ORACLE: dict[str, str] = {
     "encode_roundtrip": _with("n AS (SELECT max(id) + 1 AS n FROM vx)") + "SELECT 0::BIGINT AS n_wrong, count(*) AS n_edges, any_value(n) AS n FROM e, n",
     "frontier_counts_per_round": _with(*_state(5), _DEG0, "rs AS (SELECT unnest(range(0, 6)) AS round)")
     + "SELECT round::INTEGER AS round, count(h.id) AS expanded, coalesce(sum(in_d), 0)::BIGINT AS traversed FROM rs LEFT JOIN (SELECT it, id FROM st WHERE r > 1e-5) h ON h.it = round LEFT JOIN dg ON dg.id = h.id GROUP BY 1",
-    "variants_agree": "SELECT unnest(['optimized', 'eager', 'arrow']) AS variant, 0::BIGINT AS n_wrong",
+    "edge_list_roundtrip": _with(_window("w0", 0), graph=LI) + "SELECT src, dst, 2 * pos AS ts FROM w0 UNION ALL SELECT dst, src, 2 * pos + 1 FROM w0",
+    "vertex_list_slice": _with(_window("w0", 0), _DEG0) + "SELECT id AS target FROM (SELECT id, row_number() OVER (ORDER BY d DESC, id) - 1 AS rank FROM dg) WHERE rank >= 3 AND rank < 10",
+    "log_keywords": "SELECT 'of_' || (event_id % 3) AS keyword, max(event_id)::DOUBLE AS value FROM events GROUP BY 1",
+    "mean_per_configuration": _with(_window("w0", 0), _DEG0) + "SELECT id % 3 AS config, round(avg(d), 8) AS mean, count(*) AS n FROM dg GROUP BY 1",
+    "next_frontier": _with(*_state(4)) + _HOT3.format(4),
+    "slide_reports": _with("n AS (SELECT count(*) AS n FROM e)") + "SELECT 'small' AS mode, 100::BIGINT AS total, least(100, n - n // 10) AS reported, 1000::BIGINT AS every FROM n UNION ALL SELECT 'large', 100000000, n - n // 2, 1 FROM n",
+    "streaming_contract": "SELECT count(DISTINCT user_id) AS n_vertices, 0::BIGINT AS n_residual_viol, 0::BIGINT AS n_value_viol, 2::BIGINT AS slides FROM events",
+    "metrics_counts": _with() + "SELECT 'k' AS name, 3::BIGINT AS batches, 3.0::DOUBLE * k AS total, k::DOUBLE AS mean, k::DOUBLE AS most FROM cf UNION ALL SELECT 'target_count', 3, 3.0, 1.0, 1.0",
+    "variants_agree": "SELECT unnest(['optimized', 'fast_frontier', 'eager', 'vanilla', 'merged', 'arrow']) AS variant, 0::BIGINT AS n_wrong",
 }
 
 

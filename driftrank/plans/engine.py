@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterable
 
@@ -17,6 +18,8 @@ from driftrank.plans.repair import degree_before, repair
 from driftrank.plans.stream import EdgeStream
 from driftrank.storage import cut
 
+LOG = logging.getLogger("driftrank")
+
 
 def target_frame(vertices: DataFrame, targets: Iterable[int] | DataFrame) -> DataFrame:
     if isinstance(targets, DataFrame):
@@ -27,14 +30,14 @@ def target_frame(vertices: DataFrame, targets: Iterable[int] | DataFrame) -> Dat
 def static_ppr(stream: EdgeStream, slide: Slide, targets, batch: int = 0, epsilon: float = EPSILON, alpha: float = ALPHA, variant: Variant = Variant.OPTIMIZED, strategy: str = "bsp") -> DataFrame:
     """``(target, id, p, r)``: the value of every vertex with respect to each target, to within epsilon."""
     start = init_state(stream.vertices, target_frame(stream.vertices, targets))
-    return push(start, stream.weights(slide, batch, alpha), stream.vertices, epsilon, alpha, variant, strategy=strategy, warm=False)[0]
+    return push(start, stream.weights(slide, batch, alpha), epsilon, alpha, variant, strategy=strategy, warm=False)[0]
 
 
-class DynamicPPR:
+class PushEngine:
     """The same vector kept up to date, batch after batch.
 
     The window lives as multiplicities that updates are merged into; ``rebuild=True`` takes it from the
-    stream's positions instead. Both give the same window.
+    stream's positions instead. Both give the same window. Progress goes to the log ``driftrank``.
     """
 
     def __init__(
@@ -47,7 +50,7 @@ class DynamicPPR:
         self.n_targets = self.targets.count()
         self.batch = 0
         self.window = cut(multiplicities(stream.window_pairs(slide, 0)))
-        self.state = push(init_state(stream.vertices, self.targets), self.weights(), stream.vertices, epsilon, alpha, variant, strategy=strategy, warm=False)[0]
+        self.state = push(init_state(stream.vertices, self.targets), self.weights(), epsilon, alpha, variant, strategy=strategy, warm=False)[0]
         self._metrics: list[tuple] = []
 
     def degrees(self) -> DataFrame:
@@ -69,12 +72,16 @@ class DynamicPPR:
         self.window = cut(multiplicities(self.stream.window_pairs(self.slide, self.batch + 1)) if self.rebuild else merge_updates(self.window, updates))
         maintained = time.perf_counter()
         before = degree_before(self.degrees(), updates)
-        repaired = cut(repair(self.state, updates, before, self.alpha))
-        self.state, rounds = push(repaired, self.weights(), self.stream.vertices, self.epsilon, self.alpha, self.variant, self.phases, self.strategy)
+        fixed = cut(repair(self.state, updates, before, self.alpha))
+        repaired = time.perf_counter()
+        self.state, rounds = push(fixed, self.weights(), self.epsilon, self.alpha, self.variant, self.phases, self.strategy)
         done = time.perf_counter()
         positive, negative = [*rounds, 0, 0][:2]
-        self._metrics.append((self.batch, self.n_targets, self.slide.size, positive, negative, (maintained - begun) * 1e3, (done - maintained) * 1e3))
+        times = ((b - a) * 1e3 for a, b in ((begun, maintained), (maintained, repaired), (repaired, done), (maintained, done)))
+        self._metrics.append((self.batch, self.n_targets, self.slide.size, positive, negative, *times))
         self.batch += 1
+        if self.batch % self.slide.report_every == 0:
+            LOG.info("batch %d of %d, %d of %d edges, %.1f ms", self.batch, self.slide.batches, self.batch * self.slide.size, self.slide.reported_total(self.stream.n_edges), (done - begun) * 1e3)
         return self.state
 
     def run(self, batches: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftrank.config import ALPHA
-from driftrank.plans.push import MAX_ROUNDS, ROUNDS_PER_CUT, _ready, small_plans
+from driftrank.plans.push import MAX_ROUNDS, ROUNDS_PER_CUT, Edges, dealt, prepared
 from driftrank.storage import cut
 
 
@@ -15,29 +15,32 @@ def _start(vertices: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _round(vector: DataFrame, edges: DataFrame, alpha: float, frm: str, to: str) -> DataFrame:
-    met = vector.join(edges, F.col("id") == F.col(frm))
-    at_home = F.col("own") & (F.col("id") == F.col("target"))
-    return met.groupBy("target", F.col(to).alias("id")).agg(F.sum(F.when(F.col("own"), F.when(at_home, alpha).otherwise(0.0)).otherwise(F.col("w") * F.col("v"))).alias("v"))
+    """Every row keeps its place, with alpha at the target, and gives to the other ends of its edges."""
+    home = F.when(F.col("id") == F.col("target"), alpha).otherwise(0.0)
+    own = F.struct((-F.col("id") - 1).alias("key"), home.alias("v"))  # a key below 0 meets no edge
+    gives = F.struct(F.col("id").alias("key"), F.col("v").alias("v"))
+    rows = vector.select("target", "id", F.inline(F.when(F.col("v") != 0, F.array(own, gives)).otherwise(F.array(own))))
+    met = rows.join(edges, F.col("key") == F.col(frm), "left").where(f"key < 0 or {to} is not null")
+    own = F.col("key") < 0
+    return met.groupBy("target", F.when(own, F.col("id")).otherwise(F.col(to)).alias("id")).agg(F.sum(F.when(own, F.col("v")).otherwise(F.col("w") * F.col("v"))).alias("v"))
 
 
-def power(weights: DataFrame, vertices: DataFrame, targets: DataFrame, alpha: float = ALPHA, rounds: int | None = None, tol: float = 1e-14, forward: bool = False) -> DataFrame:
+def power(weights: DataFrame | Edges, vertices: DataFrame, targets: DataFrame, alpha: float = ALPHA, rounds: int | None = None, tol: float = 1e-14, forward: bool = False) -> DataFrame:
     """``(target, id, v)``. Backward: v(u) = sum over u -> x of w v(x) + alpha [target], the value of every
-    vertex with respect to the target. Forward: walks that start at the target."""
-    edges, small = _ready(weights, vertices)
-    frm, to = ("src", "dst") if forward else ("dst", "src")
+    vertex with respect to the target. Forward: walks that start at the target. Raises where the tolerance is not met."""
+    edges = prepared(weights)
+    by_head, (frm, to) = edges.by_head(), ("src", "dst") if forward else ("dst", "src")
     vector, n = _start(vertices, targets), 0
-    with small_plans(vertices.sparkSession, small):
-        while n < (MAX_ROUNDS if rounds is None else rounds):
-            step = min(ROUNDS_PER_CUT, (rounds or MAX_ROUNDS) - n)
-            for _ in range(step):
-                previous, vector = vector, _round(vector, edges, alpha, frm, to)
-            n += step
-            if rounds is None:
-                vector = cut(vector)
-                if linf(_round(vector, edges, alpha, frm, to), vector).first().delta <= tol:
-                    break
-            else:
-                vector = cut(vector)
+    while rounds is None or n < rounds:
+        if n >= MAX_ROUNDS and rounds is None:
+            raise RuntimeError(f"the vector still moves by more than {tol} after {n} rounds")
+        vector = dealt(vector, edges)
+        step = ROUNDS_PER_CUT if rounds is None else min(ROUNDS_PER_CUT, rounds - n)
+        for _ in range(step):
+            vector = _round(vector, by_head, alpha, frm, to)
+        vector, n = cut(vector), n + step
+        if rounds is None and linf(_round(vector, by_head, alpha, frm, to), vector).first().delta <= tol:
+            break
     return vector
 
 
@@ -47,13 +50,12 @@ def linf(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("target", "id").agg(F.abs(F.sum("v")).alias("x")).agg(F.max("x").alias("delta"))
 
 
-def deltas(weights: DataFrame, vertices: DataFrame, targets: DataFrame, rounds: int, alpha: float = ALPHA) -> DataFrame:
+def deltas(weights: DataFrame | Edges, vertices: DataFrame, targets: DataFrame, rounds: int, alpha: float = ALPHA) -> DataFrame:
     """``(round, delta)``: how far each round of the backward iteration moved."""
-    edges, small = _ready(weights, vertices)
-    vector, found = _start(vertices, targets), None
-    with small_plans(vertices.sparkSession, small):
-        for n in range(1, rounds + 1):
-            after = cut(_round(vector, edges, alpha, "dst", "src"))
-            row = linf(after, vector).select(F.lit(n).alias("round"), "delta")
-            vector, found = after, row if found is None else found.unionByName(row)
-        return cut(found)
+    edges = prepared(weights)
+    vector, found = dealt(_start(vertices, targets), edges), None
+    for n in range(1, rounds + 1):
+        after = cut(_round(vector, edges.by_head(), alpha, "dst", "src"))
+        row = linf(after, vector).select(F.lit(n).alias("round"), "delta")
+        vector, found = after, row if found is None else found.unionByName(row)
+    return cut(found)

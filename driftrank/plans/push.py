@@ -1,20 +1,20 @@
 """Local push towards an error bound, as rounds over ``state(target, id, p, r)``.
 
-A round reads the state once: it joins the window's weighted edges, to which every vertex adds a row of
-its own, and one partial-then-final aggregate on (target, id) gives the new state. Rounds chain into one
-plan; every ROUNDS_PER_CUT the state is checkpointed and the frontier tested, and a round with an empty
-frontier changes nothing. Only when the edges are counted and few are they broadcast; else both sides are
-dealt by vertex, where adaptive skew joins split hubs.
+A round reads the state once. Every row carries itself over, and a hot one besides asks for the edges into its vertex: only
+the frontier meets edges, so a round costs the state's rows and the frontier's edges. One partial-then-final aggregate on
+(target, id) gives the new state. Rounds chain into one plan; every ROUNDS_PER_CUT the state is checkpointed and the frontier
+tested. Edges are counted and up to BROADCAST_PAIRS broadcast; states are counted, and where no target has more than
+LOCAL_ROWS they are dealt by target, so that the rounds between two cuts shuffle nothing. Else edges and frontier are dealt
+by vertex, where adaptive skew joins split hubs. No setting of the session is touched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftrank.config import ALPHA, Phases, Variant, check_push
@@ -25,7 +25,10 @@ ROUNDS_PER_CUT = 8
 #: Weighted pairs (24 bytes each) up to which the edges are broadcast, and up to which a task may hold them all.
 BROADCAST_PAIRS = 500_000
 ARROW_PAIRS = 5_000_000
+#: Vertices of a target up to which a task takes all of them.
+LOCAL_ROWS, ARROW_ROWS = 1_000_000, 5_000_000
 MAX_ROUNDS = 10_000
+STRATEGIES = ("bsp", "arrow")
 
 
 def init_state(vertices: DataFrame, targets: DataFrame) -> DataFrame:
@@ -50,68 +53,101 @@ def still_legal(before: DataFrame, after: DataFrame, epsilon: float, sign: int =
     return frontier(after, epsilon, sign).join(frontier(before, epsilon, sign).select("target", "id"), ["target", "id"], "left_semi")
 
 
-def with_own(weights: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The edges of a round: the weighted ones, and for each vertex a row that carries its own state over."""
-    own = vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("own"))
-    return weights.select("src", "dst", "w", F.lit(False).alias("own")).unionByName(own)
+def next_frontier(before: DataFrame, after: DataFrame, epsilon: float, sign: int = 1) -> DataFrame:
+    """The union of both, which are disjoint: the frontier of the next round."""
+    return crossing(before, after, epsilon, sign).unionByName(still_legal(before, after, epsilon, sign))
 
 
-def push_round(state: DataFrame, edges: DataFrame, epsilon: float, alpha: float = ALPHA, sign: int = 1, only: Column | None = None) -> DataFrame:
-    """One round over all states that are hot, or over those of them that ``only`` names."""
+@dataclass(frozen=True)
+class Edges:
+    """Weighted pairs ``(src, dst, w)``, computed once, and whether they are few."""
+
+    pairs: DataFrame
+    n: int
+
+    @property
+    def small(self) -> bool:
+        return self.n <= BROADCAST_PAIRS
+
+    def by_head(self) -> DataFrame:
+        pairs = self.pairs.select("src", "dst", "w")
+        return F.broadcast(pairs) if self.small else pairs
+
+
+def prepared(weights: DataFrame | Edges) -> Edges:
+    """Edges for many rounds; prepared ones are taken as they are."""
+    if isinstance(weights, Edges):
+        return weights
+    pairs = cut(weights.select("src", "dst", "w"))
+    return Edges(pairs, pairs.count())
+
+
+def dealt(state: DataFrame, edges: Edges) -> DataFrame:
+    """``state`` dealt by target, where that is small enough for tasks."""
+    if not edges.small:
+        return state
+    facts = state.groupBy("target").count().agg(F.max("count").alias("rows"), F.count(F.lit(1)).alias("targets")).first()
+    if (facts.rows or 0) > LOCAL_ROWS:
+        return state
+    return state.repartition(max(1, min(facts.targets, state.sparkSession.sparkContext.defaultParallelism)), "target")
+
+
+def push_round(state: DataFrame, edges: DataFrame, epsilon: float, alpha: float = ALPHA, sign: int = 1, only: Column | None = None, variant: Variant = Variant.VANILLA) -> DataFrame:
+    """One round over all states that are hot, or over those of them that ``only`` names.
+
+    With a column ``b``, which the optimized and the fast-frontier variant need, the frontier is derived from the
+    residual that the last push left (fast) or found (optimized) there.
+    """
+    derived = variant in (Variant.OPTIMIZED, Variant.FAST_FRONTIER) and "b" in state.columns
     hot = is_hot(F.col("r"), epsilon, sign)
-    marked = state.withColumn("hot", hot if only is None else hot & only)
-    met = marked.join(edges, F.col("id") == F.col("dst")).where("own or hot")
-    own, is_pushed = F.col("own"), F.col("hot")
-    p = F.when(own, F.col("p") + F.when(is_pushed, alpha * F.col("r")).otherwise(0.0)).otherwise(0.0)
-    r = F.when(own, F.when(is_pushed, 0.0).otherwise(F.col("r"))).otherwise(F.col("w") * F.col("r"))
-    return met.groupBy("target", F.col("src").alias("id")).agg(F.sum(p).alias("p"), F.sum(r).alias("r"))
-
-
-@contextmanager
-def small_plans(spark: SparkSession, small: bool) -> Iterator[None]:
-    """Within it, and only for small windows, rounds run on few partitions and without adaptive replanning."""
-    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"} if small else {}
-    before = {k: spark.conf.get(k) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
-def _ready(weights: DataFrame, vertices: DataFrame) -> tuple[DataFrame, bool]:
-    edges = cut(with_own(weights, vertices))
-    small = edges.count() <= BROADCAST_PAIRS
-    return (F.broadcast(edges) if small else edges), small
-
-
-def push_rounds(state: DataFrame, weights: DataFrame, vertices: DataFrame, rounds: int, epsilon: float, alpha: float = ALPHA, sign: int = 1, groups: int = 1) -> DataFrame:
+    if derived:
+        legal_before = is_hot(F.col("b"), epsilon, sign)
+        crossed = hot & ~legal_before
+        hot = crossed if variant is Variant.FAST_FRONTIER else crossed | hot & legal_before
+    hot = hot if only is None else hot & only
+    zero, r = F.lit(0.0), F.col("r")
+    left = F.when(hot, zero).otherwise(r)
+    # keys below 0 meet no edge
+    own = F.struct((-F.col("id") - 1).alias("key"), F.lit(True).alias("own"), (F.col("p") + F.when(hot, alpha * r).otherwise(zero)).alias("p"), left.alias("r"), (left if variant is Variant.FAST_FRONTIER else r).alias("b"))
+    asks = F.struct(F.col("id").alias("key"), F.lit(False).alias("own"), zero.alias("p"), r.alias("r"), zero.alias("b"))
+    rows = state.select("target", "id", F.inline(F.when(hot, F.array(own, asks)).otherwise(F.array(own))))
+    met = rows.join(edges.select("src", "dst", "w"), F.col("key") == F.col("dst"), "left").where("own or src is not null")
+    to = F.when(F.col("own"), F.col("id")).otherwise(F.col("src"))
+    given = F.when(F.col("own"), F.col("r")).otherwise(F.col("w") * F.col("r"))
+    sums = [F.sum("p").alias("p"), F.sum("_r").alias("r"), *([F.sum("b").alias("b")] if "b" in state.columns else [])]
+    return met.select("target", to.alias("id"), "p", given.alias("_r"), "b").groupBy("target", "id").agg(*sums)
+
+
+def _class(groups: int, n: int) -> Column | None:
+    return F.col("id") % groups == n % groups if groups > 1 else None
+
+
+def push_rounds(state: DataFrame, weights: DataFrame | Edges, rounds: int, epsilon: float, alpha: float = ALPHA, sign: int = 1, groups: int = 1) -> DataFrame:
     """So many rounds, whatever the frontier."""
-    edges, small = _ready(weights, vertices)
-    with small_plans(state.sparkSession, small):
-        for n in range(rounds):
-            state = push_round(state, edges, epsilon, alpha, sign, F.col("id") % groups == n % groups if groups > 1 else None)
-            if n % ROUNDS_PER_CUT == ROUNDS_PER_CUT - 1 or n == rounds - 1:
-                state = cut(state)
-    return state
-
-
-def _push_bsp(state: DataFrame, weights: DataFrame, vertices: DataFrame, epsilon: float, alpha: float, signs: list[int], groups: int) -> tuple[DataFrame, list[int]]:
-    edges, small = _ready(weights, vertices)
-    took = []
-    with small_plans(state.sparkSession, small):
-        for sign in signs:
-            n = 0
-            while not state.where(is_hot(F.col("r"), epsilon, sign)).isEmpty():
-                if n >= MAX_ROUNDS:
-                    raise RuntimeError(f"residuals stayed above {epsilon} after {n} rounds")
-                for k in range(n, n + ROUNDS_PER_CUT):
-                    state = push_round(state, edges, epsilon, alpha, sign, F.col("id") % groups == k % groups if groups > 1 else None)
-                state, n = cut(state), n + ROUNDS_PER_CUT
-            took.append(n)
-    return state, took
+    edges = prepared(weights)
+    state, by_head = dealt(state, edges), edges.by_head()
+    for n in range(rounds):
+        state = push_round(state, by_head, epsilon, alpha, sign, _class(groups, n))
+        if n % ROUNDS_PER_CUT == ROUNDS_PER_CUT - 1 and n < rounds - 1:
+            state = dealt(cut(state), edges)
+    return cut(state) if rounds else state
+
+
+def _push_bsp(state: DataFrame, edges: Edges, epsilon: float, alpha: float, signs: list[int], variant: Variant) -> tuple[DataFrame, list[int]]:
+    took, by_head, groups = [], edges.by_head(), 2 if variant is Variant.EAGER else 1
+    keeps = variant in (Variant.OPTIMIZED, Variant.FAST_FRONTIER)
+    for sign in signs:
+        # a phase starts from all states that may be pushed: none counts as legal before
+        state, n = (state.withColumn("b", F.lit(0.0)) if keeps else state), 0
+        while not state.where(is_hot(F.col("r"), epsilon, sign)).isEmpty():
+            if n >= MAX_ROUNDS:
+                raise RuntimeError(f"residuals stayed above {epsilon} after {n} rounds")
+            state = dealt(state, edges)
+            for k in range(n, n + ROUNDS_PER_CUT):
+                state = push_round(state, by_head, epsilon, alpha, sign, _class(groups, k), variant)
+            state, n = cut(state), n + ROUNDS_PER_CUT
+        took.append(n)
+    return state.select("target", "id", "p", "r"), took
 
 
 def push_arrays(p: np.ndarray, r: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, epsilon: float, alpha: float, signs: list[int]) -> None:
@@ -126,11 +162,13 @@ def push_arrays(p: np.ndarray, r: np.ndarray, src: np.ndarray, dst: np.ndarray,
             r -= pushed
             use = hot[dst]
             r += np.bincount(src[use], w[use] * pushed[dst[use]], len(r))
+        else:
+            raise RuntimeError(f"residuals stayed above {epsilon} after {MAX_ROUNDS} rounds")
 
 
-def _push_arrow(state: DataFrame, weights: DataFrame, epsilon: float, alpha: float, signs: list[int]) -> DataFrame:
-    """All rounds of a target in one task, targets in parallel; the window's edges are counted before they are broadcast."""
-    rows = weights.select("src", "dst", "w").toPandas()
+def _push_arrow(state: DataFrame, edges: Edges, epsilon: float, alpha: float, signs: list[int]) -> DataFrame:
+    """All rounds of a target in one task, targets in parallel; edges and vertices are counted before."""
+    rows = edges.pairs.toPandas()
     held = state.sparkSession.sparkContext.broadcast((rows["src"].to_numpy(), rows["dst"].to_numpy(), rows["w"].to_numpy()))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -145,19 +183,23 @@ def _push_arrow(state: DataFrame, weights: DataFrame, epsilon: float, alpha: flo
 
 
 def push(
-    state: DataFrame, weights: DataFrame, vertices: DataFrame, epsilon: float, alpha: float = ALPHA,
+    state: DataFrame, weights: DataFrame | Edges, epsilon: float, alpha: float = ALPHA,
     variant: Variant = Variant.OPTIMIZED, phases: Phases = Phases.SIGNED, strategy: str = "bsp", warm: bool = True,
 ) -> tuple[DataFrame, list[int]]:
     """Push to the fixpoint: no residual above epsilon is left. Returns the state and the rounds of each phase.
 
-    Rounds are bulk-synchronous, so the frontier of every variant is the set of hot states; ``EAGER`` takes
-    vertices in residue classes, whose later ones see what the earlier ones gave. ``warm=False``: residuals
-    cannot be negative, so only the first phase runs.
+    Rounds are bulk-synchronous, so the frontier of every variant is the set of hot states, derived in the variant's way;
+    ``EAGER`` takes vertices in residue classes, whose later ones see what the earlier ones gave. ``warm=False``:
+    residuals cannot be negative, so only the first phase runs. Strategy ``arrow``: ``state`` has every vertex.
     """
     check_push(alpha, epsilon)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"a strategy is one of {STRATEGIES}, not {strategy!r}")
     signs = [0] if phases is Phases.MERGED else [1, -1] if warm else [1]
+    edges = prepared(weights)
     if strategy == "arrow":
-        if weights.count() > ARROW_PAIRS:
-            raise ValueError(f"more than {ARROW_PAIRS} weighted pairs: use the bsp strategy")
-        return cut(_push_arrow(state, weights, epsilon, alpha, signs)), []
-    return _push_bsp(state, weights, vertices, epsilon, alpha, signs, 2 if variant is Variant.EAGER else 1)
+        rows = state.groupBy("target").count().agg(F.max("count")).first()[0] or 0
+        if edges.n > ARROW_PAIRS or rows > ARROW_ROWS:
+            raise ValueError(f"more than {ARROW_PAIRS} weighted pairs or {ARROW_ROWS} vertices: use the bsp strategy")
+        return cut(_push_arrow(state, edges, epsilon, alpha, signs)), []
+    return _push_bsp(state, edges, epsilon, alpha, signs, variant)

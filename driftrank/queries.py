@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftrank.config import Slide
+from driftrank.config import Phases, Slide, Variant
 from driftrank.operators import degree as D
 from driftrank.operators import edges as E
 from driftrank.operators.scan import prefix_scan, with_position
 from driftrank.plans import engine, power, push, repair, validate
-from driftrank.plans.metrics import summary
+from driftrank.plans.metrics import mean_by, profile, summary
 from driftrank.plans.stream import EdgeStream
-from driftrank.sources import binary
+from driftrank.sources import binary, text
 from driftrank.sources.derived import event_graph, supply_graph
 from driftrank.storage import shared_dir
 
@@ -50,7 +50,7 @@ def _targets(spark: SparkSession, *ids: int) -> DataFrame:
 def _rounds(spark: SparkSession, sf_dir: str, rounds: int, *ids: int) -> DataFrame:
     """The state after so many rounds on the first window."""
     g, s = _event_graph(spark, sf_dir)
-    return push.push_rounds(push.init_state(g.vertices, _targets(spark, *ids)), g.weights(s, 0, ALPHA), g.vertices, rounds, EPS, ALPHA)
+    return push.push_rounds(push.init_state(g.vertices, _targets(spark, *ids)), g.weights(s, 0, ALPHA), rounds, EPS, ALPHA)
 
 
 def _r8(df: DataFrame, *names: str) -> DataFrame:
@@ -121,8 +121,7 @@ def hopping_window_degree(spark, d):
     from driftrank.streaming.sliding import windowed_degrees
 
     g, s = _event_graph(spark, d)
-    wide = Slide(s.window, s.window // 2, 1)
-    return windowed_degrees(g.edges, wide).where(F.col("batch") < 4)
+    return windowed_degrees(g.edges, Slide(s.window, s.window // 2, 1))
 
 
 @_query
@@ -271,10 +270,10 @@ def static_ppr_topk(spark, d):
 
 def _one_batch(spark, d, *ids: int) -> DataFrame:
     g, s = _event_graph(spark, d)
-    w = g.weights(s, 1, ALPHA)
+    w = push.prepared(g.weights(s, 1, ALPHA))
     state = repair.repair(_rounds(spark, d, WARM, *ids), g.updates(s, 0), g.degrees(s, 0), ALPHA)
     for sign in (1, -1):
-        state = push.push_rounds(state, w, g.vertices, WARM, EPS, ALPHA, sign)
+        state = push.push_rounds(state, w, WARM, EPS, ALPHA, sign)
     return state
 
 
@@ -317,7 +316,7 @@ def validate_contract(spark, d):
 def validate_dynamic(spark, d):
     """Two warm batches, then the contract."""
     g, s = _event_graph(spark, d)
-    run = engine.DynamicPPR(g, s, [TARGET], EPS, ALPHA)
+    run = engine.PushEngine(g, s, [TARGET], EPS, ALPHA)
     state = run.run(2)
     return validate.validate(state, run.weights(), g.vertices, EPS, ALPHA)
 
@@ -355,53 +354,128 @@ def prefix_scans(spark, d):
     return prefix_scan(D.out_degrees(g.window_pairs(s), g.vertices), "id", "d")
 
 
+def _scratch(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/driftrank-{uuid.uuid4().hex}/{name}"
+
+
 @_query
 def encode_roundtrip(spark, d):
     """Write the stream in the binary format, read it back, compare both ways."""
     g, _ = _event_graph(spark, d)
-    folder = shared_dir(spark)
-    local = folder.startswith(("file:", "/"))
-    path = (folder.removeprefix("file://") if local else tempfile.gettempdir()) + f"/{binary.binary_name('event_graph.txt')}"
-    n = g.vertices.agg(F.max("id") + 1).first()[0]
-    binary.write_binary(g.edges, path, n)
+    path = _scratch(spark, binary.binary_name("event_graph.txt"))
+    binary.write_binary(g.edges, path, g.vertices.agg(F.max("id") + 1).first()[0])
     back = binary.read_binary(spark, path)
     wrong = E.differing(g.edges.select("pos", "src", "dst"), back.select("pos", "src", "dst"))
-    return wrong.agg(F.count(F.lit(1)).alias("n_wrong")).crossJoin(back.agg(F.count(F.lit(1)).alias("n_edges"))).withColumn("n", F.lit(binary.read_header(spark, "file://" + path)).cast("long"))
+    both = wrong.agg(F.count(F.lit(1)).alias("n_wrong"), F.lit(0).cast("long").alias("n_edges")).unionByName(back.agg(F.lit(0).cast("long").alias("n_wrong"), F.count(F.lit(1)).alias("n_edges")))
+    return both.agg(F.sum("n_wrong").alias("n_wrong"), F.sum("n_edges").alias("n_edges")).withColumn("n", F.lit(binary.read_header(spark, path)).cast("long"))
+
+
+@_query
+def edge_list_roundtrip(spark, d):
+    """Write the window as a time-stamped edge list, read it back."""
+    g, s = _supply_graph(spark, d)
+    path = _scratch(spark, "edges")
+    text.write_edge_list(E.timestamped(g.window(s), g.directed), path)
+    return text.read_timestamped(spark, path)
+
+
+@_query
+def vertex_list_slice(spark, d):
+    """Write the vertices by degree, read lines 3 to 9."""
+    g, s = _event_graph(spark, d)
+    path = _scratch(spark, "ids")
+    text.write_vertices(D.ranked(g.window_pairs(s), g.vertices).orderBy("rank"), path)
+    return text.read_vertices(spark, path, 3, 10)
+
+
+@_query
+def log_keywords(spark, d):
+    """A log line for each of the first events; the last value of each keyword."""
+    path = _scratch(spark, "log")
+    events = spark.read.parquet(f"{d}/events.parquet").orderBy("event_id")
+    lines = events.select(F.concat_ws(" ", F.concat(F.lit("of_"), (F.col("event_id") % 3).cast("string")), "event_id", F.lit("ms")).alias("value"))
+    lines.coalesce(1).sortWithinPartitions(F.regexp_extract("value", r" (\d+) ", 1).cast("long")).write.text(path)
+    return text.log_values(spark, path, ["of_0", "of_1", "of_2", "of"]).select("keyword", "value")
+
+
+@_query
+def mean_per_configuration(spark, d):
+    """Mean degree by id modulo 3, as runs are averaged over their target vertices."""
+    g, s = _event_graph(spark, d)
+    runs = D.out_degrees(g.window_pairs(s), g.vertices).select((F.col("id") % 3).alias("config"), F.col("d").alias("value"))
+    return _r8(mean_by(runs, "config"), "mean")
+
+
+@_query
+def next_frontier(spark, d):
+    return push.next_frontier(_rounds(spark, d, 3), _rounds(spark, d, 4), EPS).select("target", "id")
+
+
+@_query
+def slide_reports(spark, d):
+    """Totals that reports name, and how often they come."""
+    n = _event_graph(spark, d)[0].n_edges
+    slides = {"small": Slide(n // 10, 5, 20), "large": Slide(n // 2, 100, 1_000_000)}
+    return spark.createDataFrame([(m, s.total, s.reported_total(n), s.report_every) for m, s in slides.items()], "mode string, total bigint, reported bigint, every bigint")
+
+
+@_query
+def streaming_contract(spark, d):
+    """Two slides of a stream of files that come in the wrong order, then the contract."""
+    from driftrank.streaming.sliding import SlidingPPR
+
+    g, s = _event_graph(spark, d)
+    source, upto = _scratch(spark, "in"), s.window + 2 * s.size
+    for low, high in ((upto // 2, upto), (0, upto // 2)):
+        g.edges.where((F.col("pos") >= low) & (F.col("pos") < high)).coalesce(1).write.mode("append").parquet(source)
+    job = SlidingPPR(g.vertices, [TARGET], s, _scratch(spark, "root"), epsilon=EPS, alpha=ALPHA)
+    job.start(source, _scratch(spark, "checkpoint"), once=True).awaitTermination()
+    checked = validate.validate(job.state(2), g.weights(s, 2, ALPHA), g.vertices, EPS, ALPHA)
+    return checked.withColumn("slides", F.lit(job.done()).cast("long"))
 
 
 @_query
 def frontier_counts_per_round(spark, d):
     g, s = _event_graph(spark, d)
     state = push.init_state(g.vertices, _targets(spark))
-    w = g.weights(s, 0, ALPHA)
+    w = push.prepared(g.weights(s, 0, ALPHA))
     in_d = D.degrees(g.window_pairs(s), g.vertices).select("id", "in_d")
     found = None
     for n in range(6):
         row = push.frontier(state, EPS).join(in_d, "id").agg(F.lit(n).alias("round"), F.count(F.lit(1)).alias("expanded"), F.coalesce(F.sum("in_d"), F.lit(0)).alias("traversed"))
         found = row if found is None else found.unionByName(row)
-        state = push.push_rounds(state, w, g.vertices, 1, EPS, ALPHA)
+        state = push.push_rounds(state, w, 1, EPS, ALPHA)
     return found
 
 
 @_query
 def metrics_mean(spark, d):
     g, s = _event_graph(spark, d)
-    run = engine.DynamicPPR(g, s, [TARGET], EPS, ALPHA, strategy="arrow")
+    run = engine.PushEngine(g, s, [TARGET], EPS, ALPHA, strategy="arrow")
     run.run(2)
     return summary(run.metrics())
 
 
+@_query
+def metrics_counts(spark, d):
+    """The counters of a run that do not depend on the clock."""
+    g, s = _event_graph(spark, d)
+    run = engine.PushEngine(g, s, [TARGET], EPS, ALPHA, strategy="arrow")
+    run.run(3)
+    counters = profile(run.metrics()).where(F.col("name").isin("target_count", "k"))
+    return counters.select("name", "batches", "total", "mean", "most")
+
+
 @_query
 def variants_agree(spark, d):
     """States of every variant, phase mode and strategy that differ from the exact vector by more than epsilon: none."""
-    from driftrank.config import Variant
-
     g, s = _event_graph(spark, d)
-    w, start = g.weights(s, 0, ALPHA), push.init_state(g.vertices, _targets(spark))
+    w, start = push.prepared(g.weights(s, 0, ALPHA)), push.init_state(g.vertices, _targets(spark))
     exact = power.power(w, g.vertices, _targets(spark), ALPHA)
     found = None
-    for name, kw in ({v.value: {"variant": v} for v in (Variant.OPTIMIZED, Variant.EAGER)} | {"arrow": {"strategy": "arrow"}}).items():
-        state, _ = push.push(start, w, g.vertices, EPS, ALPHA, warm=False, **kw)
+    for name, kw in ({v.value: {"variant": v} for v in Variant} | {"merged": {"phases": Phases.MERGED}, "arrow": {"strategy": "arrow"}}).items():
+        state, _ = push.push(start, w, EPS, ALPHA, warm=False, **kw)
         row = state.join(exact, ["target", "id"]).agg(F.lit(name).alias("variant"), F.count_if(F.abs(F.col("p") - F.col("v")) > EPS).alias("n_wrong"))
         found = row if found is None else found.unionByName(row)
     return found

@@ -1,13 +1,14 @@
 """Binary edge streams: ``int32 n``, then pairs of ``int32``, little-endian, in order of arrival.
 
 Reading is a Spark data source whose partitions are byte ranges of the file, so a large file is read in
-parallel and never as one value. The path must be one that every executor can open; for stores that only
-Spark reads, ``read_binary`` takes ``whole=True`` (one task a file).
+parallel and never as one value. Files are opened through ``pyarrow.fs``: local ones, HDFS, object stores; for stores that
+only Spark reads, ``read_binary`` takes ``whole=True`` (one task a file). Writing encodes ranges of the stream in parallel;
+the driver only passes their bytes on, into a file that Spark's file system opens wherever the path points.
 """
 
 from __future__ import annotations
 
-import os
+import os.path
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 HEADER, PAIR = 4, 8
 SCHEMA = "pos bigint, src bigint, dst bigint"
-CHUNK_PAIRS = 1 << 20
+CHUNK_PAIRS = 1 << 18
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
+def _opened(path: str) -> tuple:
+    """The file system of a path or URL and the path in it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), path.removeprefix("file://")) if path.startswith(("/", "file://")) else fs.FileSystem.from_uri(path)
 
 
 class _Range(InputPartition):
@@ -33,14 +37,16 @@ class _Range(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, pairs: int):
-        self.path, self.pairs = _local(path), pairs
+        self.path, self.pairs = path, pairs
 
     def partitions(self) -> list[InputPartition]:
-        total = (os.path.getsize(self.path) - HEADER) // PAIR
+        system, path = _opened(self.path)
+        total = (system.get_file_info(path).size - HEADER) // PAIR
         return [_Range(at, min(at + self.pairs, total)) for at in range(0, total, self.pairs)] or [_Range(0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as file:
+        system, path = _opened(self.path)
+        with system.open_input_file(path) as file:
             file.seek(HEADER + PAIR * partition.start)
             at = partition.start
             while at < partition.stop:
@@ -87,16 +93,24 @@ def read_binary(spark: SparkSession, path: str, whole: bool = False) -> DataFram
 
 
 def write_binary(edges: DataFrame, path: str, n: int) -> None:
-    """One file, in order of ``pos``; the driver holds a partition of the sorted stream at a time."""
-    with open(_local(path), "wb") as file:
-        file.write(int(n).to_bytes(HEADER, "little"))
-        buffer: list[tuple[int, int]] = []
-        for row in edges.orderBy("pos").select("src", "dst").toLocalIterator():
-            buffer.append((row.src, row.dst))
-            if len(buffer) == CHUNK_PAIRS:
-                file.write(np.array(buffer, "<i4").tobytes())
-                buffer.clear()
-        file.write(np.array(buffer, "<i4").tobytes())
+    """One file, in order of ``pos``. Chunks are encoded where the edges are; the driver holds one of them at a time."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.stack([batch.column(c).to_numpy() for c in ("src", "dst")], axis=1)
+            if len(ends) and not 0 <= ends.min() <= ends.max() < 1 << 31:
+                raise ValueError("ids must fit 31 bits")
+            yield pa.RecordBatch.from_arrays([pa.array([int(batch.column("pos")[0].as_py())]), pa.array([ends.astype("<i4").tobytes()], pa.binary())], ["pos", "bytes"])
+
+    spark = edges.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(int(n).to_bytes(HEADER, "little")))
+        for row in edges.orderBy("pos").select("pos", "src", "dst").mapInArrow(encode, "pos bigint, bytes binary").toLocalIterator(prefetchPartitions=True):
+            out.write(bytearray(row.bytes))
+    finally:
+        out.close()
 
 
 def binary_name(source: str, reverse: bool = False) -> str:

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from driftrank.operators.scan import with_position
 from driftrank.plans.stream import EdgeStream
+from driftrank.storage import kept
+
+
+def stored(edges: DataFrame, vertices: DataFrame, directed: bool) -> EdgeStream:
+    """The stream as a Parquet table in order of ``pos``: a window is a filter that skips row groups."""
+    return EdgeStream(kept(edges.select("pos", "src", "dst"), "pos"), kept(vertices.select("id")), directed)
 
 
 def event_graph(spark: SparkSession, sf_dir: str) -> EdgeStream:
@@ -15,7 +21,7 @@ def event_graph(spark: SparkSession, sf_dir: str) -> EdgeStream:
     numbered = with_position(events, ["event_id"]).select("pos", "src")
     following = numbered.select((F.col("pos") - 1).alias("pos"), F.col("src").alias("dst"))
     edges = numbered.join(following, "pos").select("pos", "src", "dst")
-    return EdgeStream(edges, events.select(F.col("src").alias("id")).distinct(), directed=True)
+    return stored(edges, events.select(F.col("src").alias("id")).distinct(), directed=True)
 
 
 def supply_graph(spark: SparkSession, sf_dir: str) -> EdgeStream:
@@ -23,8 +29,8 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> EdgeStream:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*(F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"))
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("id"))
-    shift = F.broadcast(parts.agg((F.max("id") + 1).alias("shift")))
+    shift = parts.agg(F.max("id")).first()[0]
+    shift = 0 if shift is None else shift + 1
     numbered = with_position(items, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    edges = numbered.crossJoin(shift).select("pos", F.col("l_partkey").alias("src"), (F.col("l_suppkey") + F.col("shift")).alias("dst"))
-    vertices = parts.unionByName(suppliers.crossJoin(shift).select((F.col("id") + F.col("shift")).alias("id")))
-    return EdgeStream(edges, vertices, directed=False)
+    edges = numbered.select("pos", F.col("l_partkey").alias("src"), (F.col("l_suppkey") + shift).alias("dst"))
+    return stored(edges, parts.unionByName(suppliers.select((F.col("id") + shift).alias("id"))), directed=False)

@@ -1,4 +1,4 @@
-"""Text files: edge lists, vertex lists, logs."""
+"""Text files: edge lists, vertex lists, logs. Lines count in the order of the files' paths, then of their places in the file."""
 
 from __future__ import annotations
 
@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from driftrank.operators.scan import with_position
 
+#: The order of lines: Spark deals large files in blocks, and packs blocks of any files into a task, but reads a block in order.
+ORDER = ["_file", "_block", "_line"]
 
-def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, src, dst)`` of a text file with two ids a line; comment lines and empty ones are skipped.
 
-    ``pos`` follows the files' order: Spark numbers rows by split and by row within it.
-    """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("value"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    return spark.read.text(path).select(*place, F.trim("value").alias("value"))
+
+
+def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
+    """``(pos, src, dst)`` of text files with two ids a line; comment lines and empty ones are skipped."""
     parts = F.split("value", r"\s+")
-    pairs = lines.where("value <> '' and not startswith(value, '#')").select("_line", F.get(parts, 0).cast("long").alias("src"), F.get(parts, 1).cast("long").alias("dst"))
-    return with_position(pairs, ["_line"]).select("pos", "src", "dst")
+    pairs = _lines(spark, path).where("value <> '' and not startswith(value, '#')").select(*ORDER, F.get(parts, 0).cast("long").alias("src"), F.get(parts, 1).cast("long").alias("dst"))
+    return with_position(pairs, ORDER).select("pos", "src", "dst")
 
 
 def write_edge_list(edges: DataFrame, path: str) -> None:
@@ -24,21 +28,28 @@ def write_edge_list(edges: DataFrame, path: str) -> None:
     edges.orderBy("ts").select(F.concat_ws(" ", "src", "dst", "ts").alias("value")).write.mode("overwrite").text(path)
 
 
+def read_timestamped(spark: SparkSession, path: str) -> DataFrame:
+    """``(src, dst, ts)`` of files that ``write_edge_list`` has written."""
+    parts = F.split("value", r"\s+")
+    return _lines(spark, path).where("value <> ''").select(*(F.get(parts, k).cast("long").alias(c) for k, c in enumerate(("src", "dst", "ts"))))
+
+
 def read_vertices(spark: SparkSession, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """``target`` of a file with an id a line, its lines [start, stop)."""
-    lines = with_position(spark.read.text(path).select(F.monotonically_increasing_id().alias("_line"), F.trim("value").cast("long").alias("target")), ["_line"])
+    """``target`` of files with an id a line, lines [start, stop) of all of them."""
+    lines = with_position(_lines(spark, path).select(*ORDER, F.col("value").cast("long").alias("target")), ORDER)
     inside = F.col("pos") >= start if stop is None else (F.col("pos") >= start) & (F.col("pos") < stop)
     return lines.where(inside).select("target")
 
 
 def write_vertices(vertices: DataFrame, path: str, column: str = "id") -> None:
+    """An id a line, in the order that ``vertices`` has: that of a sort, if it was sorted."""
     vertices.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
 def log_values(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:
     """``(file, keyword, value)``: the last number after each keyword in each log."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_line"), "value")
-    found = lines.select("file", "_line", "value", F.explode(F.array(*map(F.lit, keywords))).alias("keyword")).select(
-        "file", "_line", "keyword", F.expr(r"try_cast(nullif(regexp_extract(value, concat('(?:^|\\s)', keyword, '\\s+([-+0-9.eE]+)'), 1), '') as double)").alias("number")
+    found = _lines(spark, path).select(*ORDER, "value", F.explode(F.array(*map(F.lit, keywords))).alias("keyword")).select(
+        *ORDER, "keyword", F.expr(r"try_cast(nullif(regexp_extract(value, concat('(?:^|\\s)', keyword, '\\s+([-+0-9.eE]+)'), 1), '') as double)").alias("number")
     )
-    return found.where("number is not null").groupBy("file", "keyword").agg(F.max_by("number", "_line").alias("value"))
+    last = F.max_by("number", F.struct("_block", "_line"))
+    return found.where("number is not null").groupBy(F.col("_file").alias("file"), "keyword").agg(last.alias("value"))

@@ -1,6 +1,7 @@
 """Edges that arrive as files, in batches of exactly k, whatever the micro-batches.
 
-``foreachBatch`` appends each chunk to a buffer table, then runs as many full slides as the buffer holds.
+``foreachBatch`` appends each chunk to a buffer table, then runs as many full slides as the buffer holds without a gap, in
+whatever order the files come.
 The state of a slide is written under its number, so a replayed micro-batch overwrites its chunk and
 skips slides that are committed; results do not depend on where micro-batches begin.
 """
@@ -53,12 +54,19 @@ class SlidingPPR:
         degree = m.groupBy("src").agg(F.sum("m").alias("d"))
         return m.join(degree, "src").select("src", "dst", "m", transition_weight(F.col("m"), F.col("d"), self.alpha).alias("w"))
 
+    @staticmethod
+    def _dense(edges: DataFrame, start: int) -> int:
+        """The first position from ``start`` on that has not arrived: chunks may come in any order, and a window waits for all its edges."""
+        pos = edges.where(F.col("pos") >= start).select("pos")
+        after = pos.select((F.col("pos") + 1).alias("pos")).unionByName(edges.sparkSession.range(start, start + 1).select(F.col("id").alias("pos")))
+        return after.join(pos, "pos", "left_anti").agg(F.min("pos")).first()[0]
+
     def process(self, chunk: DataFrame, chunk_id: int) -> None:
         chunk.select("pos", "src", "dst").write.mode("overwrite").parquet(f"{self.root}/edges/chunk={chunk_id}")
         edges = self.spark.read.schema(EDGE_SCHEMA).parquet(f"{self.root}/edges/chunk=*")
-        held = edges.agg(F.count(F.lit(1)).alias("n")).first().n
         stream = EdgeStream(edges, self.vertices, self.directed)
         batch = self.done() + 1
+        held = self._dense(edges, max(0, self.slide.size * (batch - 1)))
         while self.slide.window + self.slide.size * batch <= held:
             pairs = stream.window_pairs(self.slide, batch)
             if batch == 0:
@@ -68,7 +76,7 @@ class SlidingPPR:
                 updates = stream.edges.where(self._moved(batch)).withColumn("sign", F.when(F.col("pos") < self.slide.size * batch, -1).otherwise(1))
                 updates = updates if self.directed else mirror(updates)
                 start, warm = repair(self.state(batch - 1), updates, before, self.alpha), True
-            state, _ = push(start, self._weights(pairs), self.vertices, self.epsilon, self.alpha, strategy=self.strategy, warm=warm)
+            state, _ = push(start, self._weights(pairs), self.epsilon, self.alpha, strategy=self.strategy, warm=warm)
             state.write.mode("overwrite").parquet(f"{self.root}/state/batch={batch}")
             batch += 1
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftrank.config import Phases, Slide, Variant
 from driftrank.functions import repaired_residual
-from driftrank.plans import engine, power, push, repair, validate
+from driftrank.plans import engine, metrics, power, push, repair, validate
 from driftrank.plans.stream import EdgeStream
 from driftrank.streaming.sliding import windowed_degrees
 
@@ -53,7 +53,7 @@ def test_hand_graphs(spark, edges, n, want):
 
 def test_isolated_vertices_only(spark):
     g = stream(spark, [], 2)
-    state, _ = push.push(push.init_state(g.vertices, engine.target_frame(g.vertices, [0])), g.weights(Slide(1, 1, 1), 0, A), g.vertices, 1e-9, warm=False)
+    state, _ = push.push(push.init_state(g.vertices, engine.target_frame(g.vertices, [0])), g.weights(Slide(1, 1, 1), 0, A), 1e-9, warm=False)
     assert values(state) == {0: pytest.approx(0.15), 1: 0.0}
 
 
@@ -71,13 +71,17 @@ def test_repair_is_the_sequential_rule_in_any_order(spark):
 
 
 @pytest.mark.parametrize("directed", [True, False])
-@pytest.mark.parametrize("kw", [{}, {"strategy": "arrow", "phases": Phases.MERGED}, {"variant": Variant.EAGER, "rebuild": True}], ids=["bsp", "arrow", "eager"])
+@pytest.mark.parametrize(
+    "kw",
+    [{}, {"strategy": "arrow", "phases": Phases.MERGED}, {"variant": Variant.EAGER, "rebuild": True}, {"variant": Variant.FAST_FRONTIER}, {"variant": Variant.VANILLA, "phases": Phases.MERGED}],
+    ids=["bsp", "arrow", "eager", "fast", "vanilla"],
+)
 def test_dynamic_keeps_the_contract(spark, directed, kw):
     """Window 7, batch 3: they do not line up; edges repeat and loop."""
     rng = random.Random(1)
     edges = [(rng.randrange(5), rng.randrange(5)) for _ in range(14)]
     g = stream(spark, edges, 6, directed)
-    run = engine.DynamicPPR(g, Slide(7, 3, 9), [0, 2], epsilon=1e-5, **kw)
+    run = engine.PushEngine(g, Slide(7, 3, 9), [0, 2], epsilon=1e-5, **kw)
     for batch in range(3):
         got = {(r.target, r.id): r.p for r in run.state.collect()}
         for t in (0, 2):
@@ -89,9 +93,57 @@ def test_dynamic_keeps_the_contract(spark, directed, kw):
     assert run.metrics().count() == 2
 
 
+def test_rounds_beyond_the_small_plans(spark, monkeypatch):
+    """Edges that are not broadcast and states that are not dealt by target give the same; so do targets in one table."""
+    rng = random.Random(3)
+    g = stream(spark, [(rng.randrange(30), rng.randrange(30)) for _ in range(90)], 30)
+    w, start = g.weights(Slide(90, 1, 1), 0, A), push.init_state(g.vertices, engine.target_frame(g.vertices, [0, 7]))
+    small = {(r.target, r.id): r.p for r in push.push_rounds(start, w, 10, 1e-6).collect()}
+    monkeypatch.setattr(push, "BROADCAST_PAIRS", 0)
+    monkeypatch.setattr(push, "LOCAL_ROWS", 0)
+    large = {(r.target, r.id): r.p for r in push.push_rounds(start, w, 10, 1e-6).collect()}
+    assert len(small) == 60 and all(abs(small[k] - large[k]) < 1e-12 for k in small)
+
+
+def test_only_the_frontier_meets_edges(spark):
+    """The test for hot rows stands below the join, and between cuts nothing is shuffled."""
+    g = stream(spark, [(0, 1), (1, 2)], 3)
+    edges = push.prepared(g.weights(Slide(2, 1, 1), 0, A))
+    state = push.dealt(push.init_state(g.vertices, engine.target_frame(g.vertices, [0])), edges)
+    for _ in range(3):
+        state = push.push_round(state, edges.by_head(), 1e-6)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1 and plan.count("BroadcastHashJoin") == 3
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_bounds_are_errors(spark, monkeypatch):
+    g = stream(spark, [(0, 1), (1, 0)], 2)
+    w, start = g.weights(Slide(2, 1, 1), 0, A), push.init_state(g.vertices, engine.target_frame(g.vertices, [0]))
+    with pytest.raises(ValueError, match="strategy"):
+        push.push(start, w, 1e-6, strategy="other")
+    monkeypatch.setattr(push, "MAX_ROUNDS", 8)
+    with pytest.raises(RuntimeError):
+        push.push(start, w, 1e-12)
+    monkeypatch.setattr(power, "MAX_ROUNDS", 8)
+    with pytest.raises(RuntimeError):
+        power.power(w, g.vertices, engine.target_frame(g.vertices, [0]))
+
+
+def test_reports_and_profile(spark, caplog):
+    assert Slide(100, 5, 30).report_every == 1000 and Slide(100, 100, 3).report_every == 1 and Slide(10, 5, 30).reported_total(50) == 40
+    g = stream(spark, [(i % 2, (i + 1) % 2) for i in range(400)], 2)
+    run = engine.PushEngine(g, Slide(200, 100, 9), [0], epsilon=1e-6, strategy="arrow")
+    with caplog.at_level("INFO", "driftrank"):
+        run.run()
+    assert len(caplog.records) == 2 and "of 200 edges" in caplog.text
+    found = {r["name"]: r for r in metrics.profile(run.metrics()).collect()}
+    assert set(found) == {*metrics.PHASES, *metrics.COUNTERS} and found["k"].total == 200 and found["push"].total > 0
+
+
 def test_deletes_leave_negative_residuals(spark):
     g = stream(spark, [(0, 1), (1, 0), (2, 3), (3, 2)], 4)
-    run = engine.DynamicPPR(g, Slide(2, 2, 1), [0], epsilon=1e-7)
+    run = engine.PushEngine(g, Slide(2, 2, 1), [0], epsilon=1e-7)
     before = repair.repair(run.state, g.updates(run.slide, 0), run.degrees(), A)
     assert before.agg(F.min("r")).first()[0] < 0
     assert values(run.step())[0] == pytest.approx(0.15, abs=1e-7)
