@@ -7,13 +7,14 @@ refuses a key decides: an even level says unlisted, an odd one listed. For keys
 exact, and no join with the list is needed.
 
 Building is distributed: bit positions are OR-ed per 64-bit word in a partial aggregate, wrong keys are
-found by a map over the distinct keys. A filter has 12 bits for a key of what it encodes; its size is checked
-against MAX_BYTES before the driver takes it in and broadcasts it. A list beyond that is split by key hash
-into as many cascades as needed, and the map then runs once for each of them.
+found by a map over the distinct keys. A filter has 12 bits for a key of what it encodes; the size of every level is
+checked against MAX_BYTES before the driver takes it in and broadcasts it. Lists, or unlisted keys, too many for that are
+split by key hash into as many cascades as needed, and the map then runs once for each of them.
 
 Keys are compared as two independent 64-bit hashes. Defined results: a url that is null or has no ``://``
-has empty host and path, is fitted by no rule and never listed; repeated rows give equal rows; empty
-tables and empty lists work; columns named like the outputs are replaced, others pass through.
+has empty host and path, is fitted by no rule and never listed; a url of any length is taken whole; rules of one
+length cannot both fit a url, so no tie is possible; repeated rows give equal rows; empty tables and empty lists work;
+columns named like the outputs are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -111,25 +112,36 @@ def _through(keys: DataFrame, words: np.ndarray, level: int) -> DataFrame:
 
 def build(listed: DataFrame, unlisted: DataFrame, scratch: Scratch, name: str = "cascade") -> list[Cascade]:
     """Cascades over disjoint sets of distinct keys ``(h1, h2)``; key (h1, h2) belongs to that of index h2 mod their number."""
-    n = listed.count()
-    parts = max(1, -(-2 * n * BITS_PER_KEY // 8 // MAX_BYTES))
-    found = []
-    for part in range(parts):
-        mine = F.pmod("h2", F.lit(parts)) == part
-        inside, outside = listed.where(mine), unlisted.where(mine)
-        levels: list[np.ndarray] = []
-        size = n if parts == 1 else inside.count()
-        for level in range(MAX_LEVELS):
-            levels.append(_bitmap(inside, size, level))
-            wrong = scratch.keep(_through(outside, levels[-1], level), f"{name}-{part}-{level}")
-            size = wrong.count()
-            if not size:
+    n, others = listed.count(), unlisted.count()
+    # level 0 lets about a key in 300 through, which level 1 encodes
+    parts = max(1, -(-2 * max(n, others // 256) * BITS_PER_KEY // 8 // MAX_BYTES))
+    while True:
+        found = []
+        for part in range(parts):
+            mine = F.pmod("h2", F.lit(parts)) == part
+            cascade = _cascade(listed.where(mine), unlisted.where(mine), scratch, f"{name}-{parts}-{part}")
+            if cascade is None:
                 break
-            inside, outside = wrong, inside
+            found.append(cascade)
         else:
-            raise RuntimeError("a cascade over keys that are both listed and unlisted never ends")
-        found.append(Cascade(tuple(levels)))
-    return found
+            return found
+        parts *= 2
+
+
+def _cascade(inside: DataFrame, outside: DataFrame, scratch: Scratch, name: str) -> Cascade | None:
+    """One cascade, or None where a level would be larger than MAX_BYTES."""
+    levels: list[np.ndarray] = []
+    size = inside.count()
+    for level in range(MAX_LEVELS):
+        if size * BITS_PER_KEY // 8 > MAX_BYTES:
+            return None
+        levels.append(_bitmap(inside, size, level))
+        wrong = scratch.keep(_through(outside, levels[-1], level), f"{name}-{level}")
+        size = wrong.count()
+        if not size:
+            return Cascade(tuple(levels))
+        inside, outside = wrong, inside
+    raise RuntimeError("a cascade over keys that are both listed and unlisted never ends")
 
 
 def member(df: DataFrame, cascades: Sequence[Cascade], keys: str, out: str) -> DataFrame:
