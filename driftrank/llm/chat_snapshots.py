@@ -1,7 +1,7 @@
 """Chat formatting by cumulative-snapshot collapse.
 
 Logs often hold a conversation again and again, each time with a few turns more. Every turn gets the hash of all turns
-up to it (a running sum of hashes of place, role and text, in two halves that cannot overflow). A conversation goes if its
+up to it (running sums of two hashes of place, role and text, in halves that cannot overflow). A conversation goes if its
 whole hash is the prefix hash of a longer one, or if an equal one has a smaller id; anti-joins leave the maximal
 conversations, and only their turns are rendered, a row a turn, so a conversation of any length is never one value.
 
@@ -11,7 +11,7 @@ conversations share is one row. All of it is DataFrame functions.
 
 Defined results: turns are ordered by turn, role, text (nulls first); a null role renders as ``unknown``, a null text as
 an empty one, and either differs from the empty string when conversations are compared; turns without a conv_id form one
-conversation; equal rows are turns of their own; an empty table gives an empty one; extra columns are left behind.
+conversation, which is none of those with an empty id; texts and conversations of any length are rendered whole; equal rows are turns of their own; an empty table gives an empty one; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from driftrank.llm.common import Scratch, table
 BLOCK = 64
 BEGIN, MIDDLE, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
 HALF = 0xFFFFFFFF
+#: The halves of both hashes, and the block of turns without a number.
+HASHES = ("lo", "hi", "lo2", "hi2")
+NO_TURN = -(1 << 62)
 
 
 def _offsets(blocks: DataFrame, *sums: str) -> DataFrame:
@@ -34,27 +37,26 @@ def _offsets(blocks: DataFrame, *sums: str) -> DataFrame:
 
 
 def rolling(turns: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(conv_id, seq, role, text, n, lo, hi, lo_all, hi_all)``: place from 0, length of the conversation, hash up to here and of all."""
-    rows = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_c"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("_b"))
+    """``(conv_id, seq, role, text, n, *HASHES)``: place from 0, length of the conversation, hashes up to here."""
+    rows = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("_c"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(NO_TURN)).alias("_b"))
     here = Window.partitionBy("_c", "_b").orderBy("turn", "role", "text")
     counts = _offsets(rows.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("k")), "k")
     placed = rows.withColumn("_r", F.row_number().over(here)).join(counts, ["_c", "_b"]).withColumn("seq", F.col("_r") + F.col("k_before") - 1)
-    x = F.xxhash64("seq", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
-    hashed = scratch.keep(placed.select("conv_id", "_c", "_b", "seq", "role", "text", F.col("k_all").alias("n"), x.bitwiseAND(F.lit(HALF)).alias("lo"), F.shiftrightunsigned(x, 32).alias("hi")), "turns")
-    sums = _offsets(hashed.groupBy("_c", "_b").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi")), "lo", "hi")
+    of = ["seq", F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
+    halves = [h for x in (F.xxhash64(*of), F.xxhash64(F.lit("again"), *of)) for h in (x.bitwiseAND(F.lit(HALF)), F.shiftrightunsigned(x, 32))]
+    hashed = scratch.keep(placed.select("conv_id", "_c", "_b", "seq", "role", "text", F.col("k_all").alias("n"), *(h.alias(name) for name, h in zip(HASHES, halves))), "turns")
+    sums = _offsets(hashed.groupBy("_c", "_b").agg(*(F.sum(h).alias(h) for h in HASHES)), *HASHES)
     upto = Window.partitionBy("_c", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    local = hashed.withColumns({"_lo": F.sum("lo").over(upto), "_hi": F.sum("hi").over(upto)})
-    return local.join(sums, ["_c", "_b"]).select(
-        "conv_id", "_c", "seq", "role", "text", "n", (F.col("_lo") + F.col("lo_before")).alias("lo"), (F.col("_hi") + F.col("hi_before")).alias("hi"), "lo_all", "hi_all"
-    )
+    local = hashed.withColumns({f"_{h}": F.sum(h).over(upto) for h in HASHES})
+    return local.join(sums, ["_c", "_b"]).select("conv_id", "_c", "seq", "role", "text", "n", *((F.col(f"_{h}") + F.col(f"{h}_before")).alias(h) for h in HASHES))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
     """``_c`` of the conversations that prefix no longer one, the smallest id of equal ones."""
-    ends = rolled.where("seq = n - 1").select("_c", "conv_id", "n", "lo", "hi")
-    first = ends.groupBy("n", "lo", "hi").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "_c")).alias("first"))
-    prefixes = rolled.where("seq < n - 1").select((F.col("seq") + 1).alias("n"), "lo", "hi").distinct()
-    return first.join(prefixes, ["n", "lo", "hi"], "left_anti").select("first._c")
+    ends = rolled.where("seq = n - 1").select("_c", "conv_id", "n", *HASHES)
+    first = ends.groupBy("n", *HASHES).agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "_c")).alias("first"))
+    prefixes = rolled.where("seq < n - 1").select((F.col("seq") + 1).alias("n"), *HASHES).distinct()
+    return first.join(prefixes, ["n", *HASHES], "left_anti").select("first._c")
 
 
 def render(rolled: DataFrame) -> DataFrame:
