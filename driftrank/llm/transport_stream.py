@@ -11,7 +11,9 @@ Both are narrow maps over Arrow batches of a few MB of media, so memory is bound
 and nothing is shuffled. Defined results: a null payload is an empty one and gives a stream with tables
 and no units; a null or empty stream gives empty data and zero counts; bytes outside packets, packets
 with errors, lost packets and broken tables are counted, never raised; a unit that a gap cuts keeps the
-bytes that came before the gap. Columns named like the outputs are replaced, others pass through.
+bytes that came before the gap; of a stream with several programs or elementary streams the first is read; a payload of
+any length is one stream; equal rows give equal streams; empty tables give empty tables. Columns named like the outputs
+are replaced, others pass through.
 """
 
 from __future__ import annotations
