@@ -138,6 +138,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy does to the whole table."""
+    return ablations(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the default policy keeps."""
     return apply_policy(ledger(docs)).where("kept").select(*docs.columns)
@@ -173,3 +178,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        (failed & 15) = 0 AS kept, failed::BIGINT AS failed, n_lines
 FROM f
 """
+
+ABLATION_SQL = (
+    ORACLE_SQL.rstrip()
+    .removesuffix("FROM f")
+    .rpartition("SELECT doc_id")[0]
+    + """, b AS (SELECT failed & 15 AS bits FROM f),
+rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8))
+SELECT rule, (sum(CASE WHEN bits & bit <> 0 THEN 1 ELSE 0 END))::BIGINT AS failed, (sum(CASE WHEN bits = bit THEN 1 ELSE 0 END))::BIGINT AS failed_alone,
+       (sum(CASE WHEN bits = bit OR bits = 0 THEN 1 ELSE 0 END))::BIGINT AS kept_without
+FROM b, rules GROUP BY rule"""
+)

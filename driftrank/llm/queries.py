@@ -7,6 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftrank.llm import quality_rules
+
 #: Query -> the module whose ``query`` it is; ``ORACLE_SQL`` there is its SQL, if it has one.
 MODULES = {
     "op1_kd_shards": "kd_shards",
@@ -23,9 +25,10 @@ MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"driftrank.llm.{module}").query for name, module in MODULES.items()}
+    found = {name: import_module(f"driftrank.llm.{module}").query for name, module in MODULES.items()}
+    return found | {"quality_ablations": quality_rules.ablation_query}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(import_module(f"driftrank.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: sql for name, sql in found.items() if sql} | {"quality_ablations": quality_rules.ABLATION_SQL}
