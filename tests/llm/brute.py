@@ -62,8 +62,8 @@ def quality(text: str | None) -> tuple[int, int, int, int, int]:
     return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
 
 
-def mixed(code, symbols, before, train, chunk: int) -> list[float]:
-    """log10 probabilities of a part's tokens, bit by bit and with exact contexts; learned ``chunk`` tokens at a time."""
+def mixed(code, symbols, before, train, chunks) -> list[float]:
+    """log10 probabilities of a part's tokens, bit by bit and with exact contexts; learned in stretches, ``chunks(n)``."""
     steps = [0, 1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512, 1024, 4096, 16384, 49152]
     level = lambda n: max(k for k, x in enumerate(steps) if x <= n)
     trust = lambda a, b: sum(steps[a] + steps[b] >= x for x in (1, 2, 6))
@@ -79,22 +79,23 @@ def mixed(code, symbols, before, train, chunk: int) -> list[float]:
             k += 1
         longest.append(k)
     for top in range(4):
-        inputs, state, weight, curve, refine, batch = top + 1, {}, {}, {}, {}, 0
+        least = max(0, top - 2)  # three predictors at most
+        inputs, state, weight, curve, refine, batch = top + 1 - least, {}, {}, {}, {}, 0
         mine = [i for i in range(n) if longest[i] == top]
 
         def start(gate: tuple) -> list[float]:
             w, rest = [0.0] * inputs, 1.0
-            for k in range(top, 0, -1):
+            for k in range(inputs - 1, 0, -1):
                 w[k] = (0, 0.4, 0.6, 0.8)[gate[k - 1]] * rest
                 rest -= w[k]
             return [rest, *w[1:]]
 
-        for at in range(0, len(mine), chunk):
+        for at, upto in chunks(len(mine)):
             rows = []
-            for i in mine[at : at + chunk]:
+            for i in mine[at:upto]:
                 for node, bit in path(symbols[i]):
-                    pairs = [(int(code.counts[node]) & 65535, int(code.counts[node]) >> 16)]
-                    for k in range(1, inputs):
+                    pairs = [] if least else [(int(code.counts[node]) & 65535, int(code.counts[node]) >> 16)]
+                    for k in range(max(1, least), top + 1):
                         pair = [counts[k, context[k][i], node, b] for b in (0, 1)]
                         pair[bit] -= int(train[i])
                         pairs.append(tuple(pair))
@@ -122,7 +123,7 @@ def mixed(code, symbols, before, train, chunk: int) -> list[float]:
                     for k in range(inputs):
                         fresh[gate][k] += p * (1 - p) * x[k] ** 2
                 for gate in {*fresh, *curve, *weight}:
-                    old = curve.get(gate, [30.0 * 0.5 ** 0] * inputs)
+                    old = curve.get(gate, [30.0] * inputs)
                     curve[gate] = [max(a, 0.5 * b) for a, b in zip(fresh[gate], old)]
             step = collections.defaultdict(lambda: [0.0] * inputs)
             for s, x, gate, p, place, bit in rows:
@@ -134,6 +135,6 @@ def mixed(code, symbols, before, train, chunk: int) -> list[float]:
                 refine[place][1] += 1
             for gate, g in step.items():
                 for k in range(inputs):
-                    weight[gate][k] += 0.15 * g[k] / curve[gate][k]
+                    weight[gate][k] += 0.15 * g[k] / curve.get(gate, [30.0] * inputs)[k]
             batch += 1
     return out

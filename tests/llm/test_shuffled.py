@@ -173,13 +173,19 @@ def test_model_is_a_distribution():
     spelled = context_mixing.Spelled([bytes([x]) for x in range(255)] + [context_mixing.END])
     table = context_mixing.packed(*rng.integers(0, 5, (2, 1 << 10)))
     total = 0.0
-    for owner, bits, slots, _, begun in spelled.stretches((10, 10), 10):
-        logs = context_mixing.Mixer(3).log10([table[x] for x in (*slots, begun)], bits, np.zeros(len(bits), bool), None).reshape(-1, 8).sum(axis=1)
+    for owner, bits, slots, _, begun in spelled.stretches((10, 10, 10), 10):
+        logs = context_mixing.Mixer(4).log10([table[x] for x in (*slots, begun)], bits, np.zeros(len(bits), bool), None).reshape(-1, 8).sum(axis=1)
         first = np.diff(owner, prepend=-1) > 0
         total += (10 ** logs[first]).sum()
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_stretches_cover_all():
+    for n, most in ((0, 64), (1, 64), (5000, 64), (100_000, 4096)):
+        found = list(context_mixing.chunks(n, most))
+        assert [i for a, b in found for i in range(a, b)] == list(range(n)) and all(b - a <= most for a, b in found)
+
+
 def test_scores_of_a_part_by_hand(monkeypatch):
     """Against plain loops with exact contexts."""
     monkeypatch.setattr(context_mixing, "LEAST_BITS", 24)
@@ -191,7 +197,7 @@ def test_scores_of_a_part_by_hand(monkeypatch):
     before = [np.concatenate([np.full(k, 99), symbols[:-k]]).astype(np.uint32) for k in (1, 2, 3)]
     code = context_mixing.Code(np.bincount(symbols[train], minlength=6))
     got = context_mixing.score_part(code, symbols, before, train)
-    assert got == pytest.approx(brute.mixed(code, symbols, before, train, 16), abs=1e-3)
+    assert got == pytest.approx(brute.mixed(code, symbols, before, train, lambda n: context_mixing.chunks(n, 16)), abs=1e-3)
 
 
 def _whole(docs, plan, m, head):
@@ -212,7 +218,7 @@ def _whole(docs, plan, m, head):
     by_block = collections.defaultdict(list)
     for r in out:
         by_block[r["block"]].append(r)
-    return {r["doc_id"]: r for b in by_block.values() for r in context_mixing._merged(pa.Table.from_pylist(b)).to_pylist()}, len(groups)
+    return {r["doc_id"]: r for b in by_block.values() for r in context_mixing._merged(pa.Table.from_pylist(b), m["parts"]).to_pylist()}, len(groups)
 
 
 def test_parts_of_hot_words(monkeypatch):
@@ -224,7 +230,7 @@ def test_parts_of_hot_words(monkeypatch):
     n = np.array([c[w] for w in head])
     total = float(sum(c.values()) + len(c) + 1)
     rare = [w for w, k in c.items() if k == 1]
-    spelling = (16, 16, 16, 16), [np.zeros(1 << 16, np.uint32)] * 4
+    spelling = (16, 16, 16), [np.zeros(1 << 16, np.uint32)] * 3
     base = np.log10((n + 1) / total)
     results = []
     for salts, hot, edges, piece in ((1, {}, [], 1 << 20), (7, {b"only": (3, 0)}, sorted(rare)[::400], 50)):
@@ -246,13 +252,14 @@ def test_parts_of_hot_words(monkeypatch):
 
 def test_long_words_are_spelled_in_stretches(monkeypatch):
     words = [b"ab", bytes(random.Random(1).choices(b"abc", k=300_000)), b"abc"]
-    tables = [np.zeros(1 << 16, np.uint32)] * 4
-    got = context_mixing.score_words(words, np.array([3, 0, 1]), (16,) * 4, tables)
+    tables = [np.zeros(1 << 16, np.uint32)] * 3
+    got = context_mixing.score_words(words, np.array([3, 0, 1]), (16,) * 3, tables)
     assert np.isfinite(got).all() and got[1] < got[0] < 0
     short = [b"abcabc", b"abcabd", b"x" * 40]
-    whole = list(context_mixing.Spelled(short).stretches((12,), 12))
-    monkeypatch.setattr(context_mixing, "BYTES_AT_ONCE", 5)
-    cut = list(context_mixing.Spelled(short).stretches((12,), 12))
+    monkeypatch.setattr(context_mixing, "chunks", lambda n, most: [(0, n)])
+    whole = list(context_mixing.Spelled(short).stretches((12,) * 3, 12))
+    monkeypatch.setattr(context_mixing, "chunks", lambda n, most: [(a, min(a + 5, n)) for a in range(0, n, 5)])
+    cut = list(context_mixing.Spelled(short).stretches((12,) * 3, 12))
     for k in (0, 1, 4):
         assert (np.concatenate([x[k] for x in cut]) == whole[0][k]).all()
     assert (np.concatenate([x[2][0] for x in cut]) == whole[0][2][0]).all()
@@ -372,6 +379,9 @@ def test_conversations(spark):
     assert [r.seq for r in sorted((r for r in got if r.conv_id == 8), key=lambda r: r.seq)] == list(range(200))
     assert [r.trainable for r in got if r.conv_id is None] == [True]
     assert chat_snapshots.collapse(df.limit(0)).count() == 0
+    strange = spark.createDataFrame([(None, 0, "user", "a"), ("", 0, "user", "b"), ("x", -70, "user", "c"), ("x", None, "user", "d"), ("x", 1, "user", "e")], "conv_id string, turn bigint, role string, text string")
+    got = {(r.conv_id, r.seq): (r.n_turns, r.segment.split("\n")[1][0]) for r in chat_snapshots.collapse(strange).collect()}
+    assert got == {(None, 0): (1, "a"), ("", 0): (1, "b"), ("x", 0): (3, "d"), ("x", 1): (3, "c"), ("x", 2): (3, "e")}
 
 
 def test_urls(spark):
@@ -385,6 +395,19 @@ def test_urls(spark):
     assert url_cascade.judge(pages.limit(0), listed.limit(0)).count() == 0
 
 
+def test_cascades_stay_below_their_bound(spark, monkeypatch):
+    """Levels that unlisted keys fill, not listed ones, are split too."""
+    monkeypatch.setattr(url_cascade, "MAX_BYTES", 64)
+    monkeypatch.setattr(url_cascade, "BITS_PER_KEY", 4)
+    keys = spark.range(3000).select(*(h.alias(f"h{i}") for i, h in enumerate(url_cascade.hashes(F.col("id").cast("string")), 1)), (F.col("id") < 20).alias("l"))
+    cascades = url_cascade.build(keys.where("l").drop("l"), keys.where("not l").drop("l"), Scratch(spark, "t"))
+    assert len(cascades) > 1 and all(x.nbytes <= 72 for c in cascades for x in c.levels)
+    held = keys.collect()
+    for r in held:
+        mine = cascades[r.h2 % len(cascades)]
+        assert mine.listed(np.array([r.h1]), np.array([r.h2]))[0] == r.l
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_cascade, "BITS_PER_KEY", 4)  # so that levels let much through
     keys = spark.range(4000).select(*(h.alias(f"h{i}") for i, h in enumerate(url_cascade.hashes(F.col("id").cast("string")), 1)), (F.col("id") % 5 == 0).alias("l"))
