@@ -60,15 +60,19 @@ def multiplicities(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
 
 
-def merge_updates(weights: DataFrame, updates: DataFrame) -> DataFrame:
-    """Multiplicities after signed updates; edges that reach none go."""
-    return (
-        weights.select("src", "dst", "m")
-        .unionByName(updates.select("src", "dst", F.col("sign").cast("long").alias("m")))
-        .groupBy("src", "dst")
-        .agg(F.sum("m").alias("m"))
-        .where("m <> 0")
-    )
+def merge_updates(weights: DataFrame, updates: DataFrame, few: bool = False) -> DataFrame:
+    """Multiplicities after signed updates; edges that reach none go.
+
+    ``few``: the updates are counted and small enough to be broadcast; then only the edges that they touch are shuffled.
+    """
+    held = weights.select("src", "dst", "m")
+    changes = updates.groupBy("src", "dst").agg(F.sum("sign").cast("long").alias("m"))
+    touched = held
+    if few:
+        keys = F.broadcast(changes.select("src", "dst"))
+        touched = held.join(keys, ["src", "dst"], "left_semi")
+    merged = touched.unionByName(changes).groupBy("src", "dst").agg(F.sum("m").alias("m")).where("m <> 0")
+    return held.join(keys, ["src", "dst"], "left_anti").unionByName(merged) if few else merged
 
 
 def endpoints(updates: DataFrame) -> DataFrame:

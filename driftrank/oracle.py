@@ -133,6 +133,7 @@ ORACLE: dict[str, str] = {
     "repair_frontier": _with(*_state(4)) + _HOT3.format(4) + " INTERSECT " + _HOT3.format(3),
     "residual_repair": _with(*_repaired()) + "SELECT target, id, round(p, 8) AS p, round(r, 8) AS r FROM rp",
     "static_ppr_topk": _with(*_state(24), f"s24 AS {_at(24)}") + "SELECT target, row_number() OVER (ORDER BY p DESC, id)::INTEGER AS rank, id, round(p, 8) AS p FROM s24 ORDER BY rank LIMIT 10",
+    "static_ppr_solved": _with(*_state(80), f"s80 AS {_at(80)}") + "SELECT target, row_number() OVER (ORDER BY p DESC, id)::INTEGER AS rank, id, round(p, 8) AS p FROM s80 ORDER BY rank LIMIT 10",
     "dynamic_ppr_one_batch": _one_batch(5),
     "dynamic_ppr_multi_target": _one_batch(1, 5, 7),
     "power_reverse_fixed": _with(*_power(20)) + "SELECT target, id, round(v, 8) AS v FROM pw WHERE it = 20",

@@ -19,6 +19,8 @@ from driftrank.plans.stream import EdgeStream
 from driftrank.storage import cut
 
 LOG = logging.getLogger("driftrank")
+#: Edges in a batch up to which its updates (twice or four times as many rows of 24 bytes) are broadcast to the window.
+FEW_UPDATES = 100_000
 
 
 def target_frame(vertices: DataFrame, targets: Iterable[int] | DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ class PushEngine:
             updates = self.stream.updates(self.slide, self.batch)
         begun = time.perf_counter()
         updates = cut(updates)
-        self.window = cut(multiplicities(self.stream.window_pairs(self.slide, self.batch + 1)) if self.rebuild else merge_updates(self.window, updates))
+        self.window = cut(multiplicities(self.stream.window_pairs(self.slide, self.batch + 1)) if self.rebuild else merge_updates(self.window, updates, self.slide.size <= FEW_UPDATES))
         maintained = time.perf_counter()
         before = degree_before(self.degrees(), updates)
         fixed = cut(repair(self.state, updates, before, self.alpha))

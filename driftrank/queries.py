@@ -18,7 +18,7 @@ from driftrank.plans.metrics import mean_by, profile, summary
 from driftrank.plans.stream import EdgeStream
 from driftrank.sources import binary, text
 from driftrank.sources.derived import event_graph, supply_graph
-from driftrank.storage import shared_dir
+from driftrank.storage import cut, shared_dir
 
 TARGET, EPS, ALPHA = 5, 1e-5, 0.15
 TARGETS = (1, 5, 7)
@@ -195,7 +195,7 @@ def window_incremental(spark, d):
     g, s = _supply_graph(spark, d)
     m = E.multiplicities(g.window_pairs(s))
     for batch in range(3):
-        m = E.merge_updates(m, g.updates(s, batch))
+        m = cut(E.merge_updates(m, cut(g.updates(s, batch)), s.size <= engine.FEW_UPDATES))
     return m
 
 
@@ -268,6 +268,13 @@ def static_ppr_topk(spark, d):
     return _r8(engine.topk(_rounds(spark, d, 24), 10), "p")
 
 
+@_query
+def static_ppr_solved(spark, d):
+    """The ten largest values of the first window, solved to epsilon."""
+    g, s = _event_graph(spark, d)
+    return _r8(engine.topk(engine.static_ppr(g, s, [TARGET], epsilon=EPS, alpha=ALPHA), 10), "p")
+
+
 def _one_batch(spark, d, *ids: int) -> DataFrame:
     g, s = _event_graph(spark, d)
     w = push.prepared(g.weights(s, 1, ALPHA))
