@@ -338,6 +338,7 @@ def classes_linked(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     comps = components(edges, scratch, "pivots")
     more = scratch.keep(_rest(shared, comps, needed, sets, scratch), "more")
     comps = components(edges.unionByName(more), scratch, "all")
+    scratch.drop("shared", "labelled", "needed", "sets", "edges", "more")
     rooted = classes.select("c", "first").join(comps.select(F.col("node").alias("c"), "root"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows, rooted.join(least, "root").select("c", "component_id")

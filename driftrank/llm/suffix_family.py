@@ -388,6 +388,7 @@ def covered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     tasks = max(n_partitions(spark), -(-windows * ENTRY_BYTES // BUCKET_BYTES))
     ordered = asked.mapInArrow(_windows, ENTRY).repartition(tasks, "key").sortWithinPartitions(*_NAMES[:4])
     second = scratch.keep(ordered.mapInArrow(_later, "doc bigint, spot bigint"), "windows")
+    scratch.drop("undecided", "family")
     for part in found:
         second = second.unionByName(part)
     return second
