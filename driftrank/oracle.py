@@ -141,6 +141,7 @@ ORACLE: dict[str, str] = {
     "linf_delta": _with(*_power(8)) + "SELECT a.it AS round, round(max(abs(a.v - b.v)), 8) AS delta FROM pw a JOIN pw b ON a.it = b.it + 1 AND a.id = b.id GROUP BY 1",
     "validate_contract": "SELECT count(DISTINCT user_id) AS n_vertices, 0::BIGINT AS n_residual_viol, 0::BIGINT AS n_value_viol FROM events",
     "validate_dynamic": "SELECT count(DISTINCT user_id) AS n_vertices, 0::BIGINT AS n_residual_viol, 0::BIGINT AS n_value_viol FROM events",
+    "sparse_dynamic": "SELECT count(DISTINCT user_id) AS n_vertices, 0::BIGINT AS n_residual_viol, 0::BIGINT AS n_value_viol FROM events",
     "validate_window": "SELECT 0::BIGINT AS n_differences",
     "top_degree_10": _with(_window("w0", 0), _DEG0) + "SELECT id, d FROM dg ORDER BY d DESC, id LIMIT 10",
     "degree_rank_range_sample": _with(_window("w0", 0), _DEG0, "rk AS (SELECT row_number() OVER (ORDER BY d DESC, id) - 1 AS rank, id, d, in_d FROM dg)") + f"SELECT rank, id, d FROM rk WHERE rank >= 5 AND rank < 100 AND d > 0 AND in_d > 0 ORDER BY {_HASH}, id LIMIT 10",

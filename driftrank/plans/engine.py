@@ -13,8 +13,8 @@ from driftrank.config import ALPHA, EPSILON, Phases, Slide, Variant
 from driftrank.operators.edges import merge_updates, multiplicities
 from driftrank.functions import transition_weight
 from driftrank.plans.metrics import metrics_frame
-from driftrank.plans.push import init_state, push
-from driftrank.plans.repair import degree_before, repair
+from driftrank.plans.push import dense, init_state, push, seed_state
+from driftrank.plans.repair import degree_before, repair, sparse_repair
 from driftrank.plans.stream import EdgeStream
 from driftrank.storage import cut
 
@@ -39,20 +39,25 @@ class PushEngine:
     """The same vector kept up to date, batch after batch.
 
     The window lives as multiplicities that updates are merged into; ``rebuild=True`` takes it from the
-    stream's positions instead. Both give the same window. Progress goes to the log ``driftrank``.
+    stream's positions instead. Both give the same window. With ``sparse=True`` the state has the rows that were reached
+    only; others are 0, and ``vector`` gives all of them. Progress goes to the log ``driftrank``.
     """
 
     def __init__(
         self, stream: EdgeStream, slide: Slide, targets, epsilon: float = EPSILON, alpha: float = ALPHA,
-        variant: Variant = Variant.OPTIMIZED, phases: Phases = Phases.SIGNED, strategy: str = "bsp", rebuild: bool = False,
+        variant: Variant = Variant.OPTIMIZED, phases: Phases = Phases.SIGNED, strategy: str = "bsp", rebuild: bool = False, sparse: bool = False,
     ):
+        if sparse and strategy == "arrow":
+            raise ValueError("the arrow strategy needs every vertex")
+        self.sparse = sparse
         self.stream, self.slide, self.epsilon, self.alpha = stream, slide, epsilon, alpha
         self.variant, self.phases, self.strategy, self.rebuild = variant, phases, strategy, rebuild
         self.targets = target_frame(stream.vertices, targets)
         self.n_targets = self.targets.count()
         self.batch = 0
         self.window = cut(multiplicities(stream.window_pairs(slide, 0)))
-        self.state = push(init_state(stream.vertices, self.targets), self.weights(), epsilon, alpha, variant, strategy=strategy, warm=False)[0]
+        start = seed_state(self.targets) if sparse else init_state(stream.vertices, self.targets)
+        self.state = push(start, self.weights(), epsilon, alpha, variant, strategy=strategy, warm=False)[0]
         self._metrics: list[tuple] = []
 
     def degrees(self) -> DataFrame:
@@ -74,7 +79,7 @@ class PushEngine:
         self.window = cut(multiplicities(self.stream.window_pairs(self.slide, self.batch + 1)) if self.rebuild else merge_updates(self.window, updates, self.slide.size <= FEW_UPDATES))
         maintained = time.perf_counter()
         before = degree_before(self.degrees(), updates)
-        fixed = cut(repair(self.state, updates, before, self.alpha))
+        fixed = cut(sparse_repair(self.state, updates, before, self.targets, self.alpha) if self.sparse else repair(self.state, updates, before, self.alpha))
         repaired = time.perf_counter()
         self.state, rounds = push(fixed, self.weights(), self.epsilon, self.alpha, self.variant, self.phases, self.strategy)
         done = time.perf_counter()
@@ -92,6 +97,10 @@ class PushEngine:
                 break
         return self.state
 
+    def vector(self) -> DataFrame:
+        """The state with every vertex."""
+        return dense(self.state, self.stream.vertices, self.targets) if self.sparse else self.state
+
     def metrics(self) -> DataFrame:
         return metrics_frame(self.stream.vertices.sparkSession, self._metrics)
 

@@ -36,6 +36,17 @@ def init_state(vertices: DataFrame, targets: DataFrame) -> DataFrame:
     return vertices.crossJoin(F.broadcast(targets)).select("target", "id", F.lit(0.0).alias("p"), F.when(F.col("id") == F.col("target"), 1.0).otherwise(0.0).alias("r"))
 
 
+def seed_state(targets: DataFrame) -> DataFrame:
+    """The same without the rows that are 0: rounds add the vertices that they reach, so the state costs the pushed neighbourhood, not the graph."""
+    return targets.select("target", F.col("target").alias("id"), F.lit(0.0).alias("p"), F.lit(1.0).alias("r"))
+
+
+def dense(state: DataFrame, vertices: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every vertex for every target, 0 where ``state`` has no row."""
+    every = vertices.crossJoin(F.broadcast(targets)).select("target", "id")
+    return every.join(state, ["target", "id"], "left").select("target", "id", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p", "r")))
+
+
 def frontier(state: DataFrame, epsilon: float, sign: int = 1, restrict_to: DataFrame | None = None) -> DataFrame:
     """The states that may be pushed; with ``restrict_to(id)`` only those vertices are looked at."""
     hot = state.where(is_hot(F.col("r"), epsilon, sign))

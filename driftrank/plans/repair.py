@@ -19,6 +19,18 @@ def batch_delta(state: DataFrame, updates: DataFrame, alpha: float = ALPHA) -> D
     )
 
 
+def sparse_repair(state: DataFrame, updates: DataFrame, degree: DataFrame, targets: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``repair`` of a state whose missing rows are 0; ``targets`` and ``updates`` are a user's list and a batch."""
+    asked = updates.select("src", "dst", "sign").crossJoin(F.broadcast(targets.select("target")))
+    heads = asked.join(state.select("target", F.col("id").alias("dst"), "p"), ["target", "dst"], "left")
+    delta = heads.groupBy("target", F.col("src").alias("id")).agg(F.sum("sign").alias("change"), ((1.0 - alpha) * F.sum(F.col("sign") * F.coalesce("p", F.lit(0.0)))).alias("mass"))
+    joined = state.join(delta.join(degree.select("id", "d"), "id"), ["target", "id"], "full_outer")
+    p, r = (F.coalesce(c, F.lit(0.0)) for c in ("p", "r"))
+    fixed = repaired_residual(p, r, F.col("d"), F.col("change"), F.col("mass"), F.col("id") == F.col("target"), alpha)
+    out = joined.select("target", "id", p.alias("p"), F.when(F.col("change").isNull(), r).otherwise(fixed).alias("r"))
+    return out.where("p <> 0 or r <> 0")
+
+
 def degree_before(degree_after: DataFrame, updates: DataFrame) -> DataFrame:
     """Degrees ahead of a batch, from those behind it."""
     undone = updates.select(F.col("src").alias("id"), (-F.col("sign")).cast("long").alias("d"))

@@ -328,6 +328,15 @@ def validate_dynamic(spark, d):
     return validate.validate(state, run.weights(), g.vertices, EPS, ALPHA)
 
 
+@_query
+def sparse_dynamic(spark, d):
+    """Two warm batches on a state of reached rows only, then the contract on all vertices."""
+    g, s = _event_graph(spark, d)
+    run = engine.PushEngine(g, s, [TARGET], EPS, ALPHA, sparse=True)
+    run.run(2)
+    return validate.validate(run.vector(), run.weights(), g.vertices, EPS, ALPHA)
+
+
 @_query
 def validate_window(spark, d):
     g, s = _supply_graph(spark, d)

@@ -73,8 +73,8 @@ def test_repair_is_the_sequential_rule_in_any_order(spark):
 @pytest.mark.parametrize("directed", [True, False])
 @pytest.mark.parametrize(
     "kw",
-    [{}, {"strategy": "arrow", "phases": Phases.MERGED}, {"variant": Variant.EAGER, "rebuild": True}, {"variant": Variant.FAST_FRONTIER}, {"variant": Variant.VANILLA, "phases": Phases.MERGED}],
-    ids=["bsp", "arrow", "eager", "fast", "vanilla"],
+    [{}, {"strategy": "arrow", "phases": Phases.MERGED}, {"variant": Variant.EAGER, "rebuild": True}, {"variant": Variant.FAST_FRONTIER}, {"variant": Variant.VANILLA, "phases": Phases.MERGED}, {"sparse": True}],
+    ids=["bsp", "arrow", "eager", "fast", "vanilla", "sparse"],
 )
 def test_dynamic_keeps_the_contract(spark, directed, kw):
     """Window 7, batch 3: they do not line up; edges repeat and loop."""
@@ -83,7 +83,7 @@ def test_dynamic_keeps_the_contract(spark, directed, kw):
     g = stream(spark, edges, 6, directed)
     run = engine.PushEngine(g, Slide(7, 3, 9), [0, 2], epsilon=1e-5, **kw)
     for batch in range(3):
-        got = {(r.target, r.id): r.p for r in run.state.collect()}
+        got = {(r.target, r.id): r.p for r in run.vector().collect()}
         for t in (0, 2):
             want = exact(edges[3 * batch : 3 * batch + 7], 6, t, directed)
             assert max(abs(got[t, i] - want[i]) for i in range(6)) <= 1e-5
@@ -93,6 +93,17 @@ def test_dynamic_keeps_the_contract(spark, directed, kw):
     assert run.metrics().count() == 2
 
 
+def test_sparse_states_stay_in_reach(spark):
+    """A component that no edge leads to from the target's is never touched, also when an update comes there."""
+    g = stream(spark, [(1, 0), (5, 6), (2, 1), (6, 5), (5, 5)], 8)
+    run = engine.PushEngine(g, Slide(3, 1, 2), [0], epsilon=1e-6, sparse=True)
+    assert {r.id for r in run.state.collect()} == {0, 1, 2}
+    run.run(2)
+    assert {r.id for r in run.state.collect()} <= {0, 1, 2} and run.vector().count() == 8
+    with pytest.raises(ValueError, match="every vertex"):
+        engine.PushEngine(g, Slide(3, 1, 2), [0], sparse=True, strategy="arrow")
+
+
 def test_rounds_beyond_the_small_plans(spark, monkeypatch):
     """Edges that are not broadcast and states that are not dealt by target give the same; so do targets in one table."""
     rng = random.Random(3)
