@@ -33,11 +33,11 @@ from driftrank.operators.scan import with_position
 ROW_BYTES = 16
 BINS = 4096
 TOLERANCE = 0.001  # of a shard's target, at each cut
-COORDINATE_BITS, TIE_BITS = 40, 22
+COORDINATE_BITS, TIE_BITS = 26, 22
 #: Nodes up to which a level's cuts stand in the expression, and up to which they are broadcast (5 numbers each); distinct values up to which ranks are.
 LITERAL_NODES, BROADCAST_NODES, BROADCAST_VALUES = 256, 100_000, 100_000
 #: Levels between two tables of the nodes; copies of a row that are numbered at once.
-KEPT_LEVELS, COPIES = 4, 4096
+KEPT_LEVELS, COPIES = 2, 4096
 SLOT_BLOCK = 20_000
 
 
@@ -47,7 +47,7 @@ def from_count(value: Column) -> Column:
     return F.coalesce(scaled.cast("long"), F.lit(0).cast("long"))
 
 
-#: The dimensions of ``documents``: how their values become coordinates below 2^COORDINATE_BITS; RANK: by their place among the distinct values.
+#: The dimensions of ``documents``: how their values become coordinates, counts below 2^COORDINATE_BITS; RANK: by their place among the distinct values.
 RANK = "rank"
 DIMENSIONS: dict[str, object] = {"source": RANK, "lang": RANK, "n_chars": from_count}
 
@@ -65,8 +65,11 @@ def ranks_of(docs: DataFrame, dimensions: Mapping[str, object], scratch: Scratch
     for c, kind in dimensions.items():
         if kind == RANK:
             values = docs.select(F.col(c).cast("string").alias("_value")).where("_value is not null").distinct()
-            ranks = scratch.keep(with_position(values, ["_value"]).select("_value", (F.col("pos") + 1).alias("_rank")), f"ranks-{c}")
-            found[c] = F.broadcast(ranks) if ranks.count() <= BROADCAST_VALUES else ranks
+            values = scratch.keep(values, f"values-{c}")
+            few = values.count() <= BROADCAST_VALUES
+            placed = values.select("_value", F.row_number().over(Window.orderBy("_value")).cast("long").alias("_rank")) if few else with_position(values, ["_value"]).select("_value", (F.col("pos") + 1).alias("_rank"))
+            ranks = scratch.keep(placed, f"ranks-{c}")
+            found[c] = F.broadcast(ranks) if few else ranks
     return found
 
 
