@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftrank.llm.common import map_column, table
 
-#: Bytes of pieces and ids that a worker remembers in each of two generations, about; characters of a piece worth it; pairs of tokens.
-REMEMBERED, WORTH, PAIRS = 24 << 20, 64, 200_000
+#: Bytes of pieces and ids that a worker remembers in each of two generations, at most (about half of them in truth); characters of a piece worth it; pairs of tokens.
+REMEMBERED, WORTH, PAIRS = 56 << 20, 64, 200_000
 _NEVER = 1 << 60
 
 
