@@ -273,6 +273,46 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert one == two and one[200] > -60 > max(one[i] for i in range(120))  # what occurs twice stands out
 
 
+def test_contexts_of_many_parts_are_counted_whole(spark, monkeypatch):
+    """What predictors see does not depend on how many parts the tokens are dealt over."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "the", "of", "a", f"w{rng.randrange(20)}", f"r{rng.randrange(900)}"])
+    rows = [(i, "of the " * (i % 3 == 0) + " ".join(word() for _ in range(25))) for i in range(70)]
+    twin = " ".join(f"the u{k}" for k in range(12))
+    rows += [(200, twin), (207, twin), *((i, "") for i in range(300, 340))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = "block bigint, part int, seq int, body binary"
+    dealt_over = []
+
+    def local(dealt, model):
+        groups, out = collections.defaultdict(list), []
+        for r in dealt.collect():
+            groups[r.part].append(r.asDict())
+        dealt_over.append(len(groups))
+        with monkeypatch.context() as m:
+            m.setattr(context_mixing, "LEAST_BITS", 24)
+            m.setattr(context_mixing.Mixer, "_learn", lambda *_: None)
+            for g in groups.values():
+                out += context_mixing._scored(pa.Table.from_pylist(g, pa.schema([("part", pa.int32()), ("block", pa.int64()), ("seq", pa.int32()), ("body", pa.binary())])), model.value).to_pylist()
+        return spark.createDataFrame([(r["block"], r["part"], r["seq"], bytes(r["body"])) for r in out], names)
+
+    with monkeypatch.context() as m:
+        m.setattr(context_mixing, "scored_parts", local)
+        whole = {r.doc_id: r.score for r in context_mixing.score(docs).collect()}
+        m.setattr(context_mixing, "PART", 18)  # of words, pairs, triples and the starts of texts some are more frequent
+        parts = {r.doc_id: r.score for r in context_mixing.score(docs).collect()}
+    assert dealt_over[1] > dealt_over[0] + 30 and parts == pytest.approx(whole, abs=1e-4)
+    # the model itself: equal texts are predicted alike, and those that occur twice stand out
+    monkeypatch.setattr(context_mixing, "PART", 18)
+    scored = {r.doc_id: r for r in context_mixing.score(docs.repartition(3)).collect()}
+    assert len({r.score for d, r in scored.items() if d >= 300 and not r.held_out}) == 1
+    assert len({r.score for d, r in scored.items() if d >= 300 and r.held_out}) == 1
+    again = {r.doc_id: r.score for r in context_mixing.score(docs.repartition(1)).collect()}
+    assert again == {d: r.score for d, r in scored.items()}
+
+
 def test_repeats(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab cd") for _ in range(400)) for _ in range(4)]
