@@ -200,6 +200,49 @@ def test_scores_of_a_part_by_hand(monkeypatch):
     assert got == pytest.approx(brute.mixed(code, symbols, before, train, lambda n: context_mixing.chunks(n, 16)), abs=1e-3)
 
 
+def test_counts_behind_contexts_are_exact(monkeypatch):
+    """Against plain loops with exact contexts, however small tables may be."""
+    monkeypatch.setattr(context_mixing, "LEAST_BITS", 4)
+    monkeypatch.setattr(context_mixing, "CHUNK", 64)
+    rng = random.Random(8)
+    symbols = np.array([min(rng.randrange(40), rng.randrange(40)) for _ in range(1500)])
+    train = np.array([rng.random() < 0.8 for _ in symbols])
+    before = [np.concatenate([np.full(k, 99), symbols[:-k]]).astype(np.uint32) for k in (1, 2, 3)]
+    code = context_mixing.Code(np.bincount(symbols[train], minlength=40))
+    got = context_mixing.score_part(code, symbols, before, train)
+    assert got == pytest.approx(brute.mixed(code, symbols, before, train, lambda n: context_mixing.chunks(n, 64)), abs=1e-3)
+
+
+def test_equal_decisions_are_mixed_once():
+    """What is scored and learned is the same as of each decision by itself, and far fewer are mixed."""
+    rng = np.random.default_rng(3)
+    cells, weight = [rng.integers(0, 12, 20_000) * 2 for _ in range(3)], rng.integers(0, 3, 20_000).astype(float)
+    bit = rng.integers(0, 2, 20_000)
+    cells, one, each = [x + bit for x in cells], context_mixing.Mixer(3), context_mixing.Mixer(3)
+    assert len(context_mixing._distinct(cells)[0]) < 4000
+    for _ in range(3):
+        assert one.mixed(cells, weight) == pytest.approx(each._mixed(cells, weight), abs=1e-5)
+    for a, b in ((one.states, each.states), (one.weights, each.weights), (one.map, each.map), (one.curve, each.curve)):
+        assert a == pytest.approx(b, rel=1e-3, abs=1e-4)
+
+
+def test_whole_beginnings_are_counted_exactly():
+    words, counts = [b"abc", b"abd", b"ab", b"x"], np.array([3, 1, 0, 2])
+    spelled = context_mixing.Spelled(words)
+    cells, row_of, which = spelled.beginnings(counts)
+    data = [w + b" " for w in words]
+    at = [(w, j) for w in data for j in range(len(w))]
+    for (w, j), k in zip(at, which):
+        for left_out in (0, 1):
+            for b in range(8):
+                bit, n = w[j] >> 7 - b & 1, [0, 0]
+                for v, c in zip(data, counts):  # words that begin alike up to this bit
+                    if v[:j] == w[:j] and len(v) > j and v[j] >> 8 - b == w[j] >> 8 - b:
+                        n[v[j] >> 7 - b & 1] += c
+                n[bit] = max(n[bit] - left_out, 0)
+                assert cells[2 * row_of[k] + left_out][b] == (n[0] * context_mixing.LEVELS + n[1]) * 2 + bit  # so few counts are their own steps
+
+
 def _whole(docs, plan, m, head):
     """The parts of the model without Spark."""
     import pyarrow as pa
